@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import chat, ngram_join, secrets, sharding
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
+        "op10_chat_formatting": chat.op10_chat_formatting,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_chat_formatting": chat.OP10_SQL}
