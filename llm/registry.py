@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, secrets, sharding
+from . import chat, decontaminate, ngram_join, packing, quality, secrets, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+        "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op3_quality_classifier": quality.op3_quality_classifier,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_hypergeometric_sharding": sharding.op9_hypergeometric_sharding,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
