@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of text that go to a Python worker at once; the operators cut them further by bytes.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -19,24 +21,36 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lowers the session's Arrow batch size: long texts would fill a worker's memory otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Lowers the session's Arrow batch size, in rows and bytes: long texts would fill a worker's memory otherwise."""
+    for key, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= limit:
+            spark.conf.set(key, str(limit))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent (tests in local mode) a temporary folder serves.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, set as the context's; only where the
+    setting is absent (tests in local mode) a temporary folder serves."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet to the shared folder and read again: smaller than a checkpoint where texts are in it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """Selects columns by name; of several with one name (or names that differ in case) the first counts."""
     lower = [c.lower() for c in df.columns]
@@ -44,26 +58,40 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{lower.index(n.lower())}").alias(n) for n in names])
 
 
-BLOOM_BITS = 1 << 22
+#: Bits of a Bloom filter: 16 for each id, within these bounds (8 KB to 16 MB).
+BLOOM_BITS = (1 << 16, 1 << 27)
 
 
-def bloom(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A Bloom filter of fixed size (2**22 bits, two probes) over a long column.
+class Bloom:
+    """A Bloom filter (two probes) over a long column, bounded in size whatever the input.
 
-    Built by a distributed bit_or, so the driver receives at most 2**22 / 64 rows whatever the input.
-    It saturates gracefully: a full filter lets everything pass, and an exact join follows each use.
+    Built by a distributed bit_or, so the driver receives one row for each 64 bits at most. Beyond its
+    bound it lets more and more pass; an exact join follows each use.
     """
-    probe = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(BLOOM_BITS)) for k in range(2)]))
-    rows = (
-        ids.select(probe.alias("bit"))
-        .groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    if rows:
-        out[[r.word for r in rows]] = [r.bits for r in rows]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool), BLOOM_BITS
+
+    def __init__(self, ids: DataFrame, column: str):
+        """ids is read twice: cut or stored before."""
+        self.bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], 1 << max(0, 16 * ids.count() - 1).bit_length()))
+        rows = (
+            ids.select(F.explode(F.array(*self.probes(column))).alias("bit"))
+            .groupBy(F.expr("bit div 64").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+            .toArrow()
+        )
+        words = np.zeros(self.bits // 64, np.int64)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(words)
+
+    def probes(self, column: str) -> list:
+        return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(self.bits)).alias(f"probe{k}") for k in range(2)]
+
+    def might_hold(self, *probes: pa.Array) -> np.ndarray:
+        words = self.table.value
+        out = np.ones(len(probes[0]), bool)
+        for probe in probes:
+            at = probe.to_numpy(zero_copy_only=False).astype(np.int64)
+            out &= (words[at >> 6] >> (at & 63)) & 1 > 0
+        return out
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

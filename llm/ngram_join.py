@@ -225,8 +225,7 @@ def join_task(reps: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: lis
 def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(rep, links, root) of every task's sets that link: partial counts and spanning edges."""
     members = base.cut(groups.select(F.col("id").alias("rep"), "component").join(classes, "rep"))
-    rep_bits, size = base.bloom(members, "rep")
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(rep_bits))
+    reps = base.Bloom(members, "rep")
     tasks = blocks(members)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -238,18 +237,13 @@ def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(out["d1"], pa.int64()), pa.array(out["d2"], pa.int64()), pa.array(out["own"], pa.binary())], ["d1", "d2", "own"])
 
     # only a representative's row passes the filter, save for a few by chance that the join removes
-    probes = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.lit(size)).alias(f"p{k}") for k in range(2)]
-
     def gate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(bits.value)
-        keep = np.ones(batch.num_rows, bool)
-        for k in (2, 3):
-            keep &= table[batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)].astype(bool)
+        keep = reps.might_hold(batch.column(2), batch.column(3))
         if keep.any():
             yield from run(batch.filter(pa.array(keep)))
 
     plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    sets = base.arrow_map(plain.select("doc_id", "text", *probes), gate, "d1 long, d2 long, own binary")
+    sets = base.arrow_map(plain.select("doc_id", "text", *reps.probes("doc_id")), gate, "d1 long, d2 long, own binary")
     sets = sets.join(members.select("rep", "d1", "d2", "copies"), ["d1", "d2"]).groupBy("rep").agg(F.first("copies").alias("copies"), F.first("own").alias("own"))
 
     def task(table: pa.Table) -> pa.Table:
