@@ -225,6 +225,21 @@ def rule_columns(docs: DataFrame, model: Linear, keep_at: float = KEEP_AT) -> Da
     return base.arrow_map(base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
+def kept_rows(docs: DataFrame, model: Linear, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that the rules keep, all columns unchanged; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(batch.num_rows, bool)
+        for first, chunk in chunks(batch.column(at)):
+            failed = (chunk.n_words < MIN_WORDS) | (100 * chunk.repeat_words() > MAX_REPEAT_PERCENT * chunk.n_words)
+            keep[first : first + chunk.texts] = ~failed & (shared.value.score(chunk.features()) >= keep_at)
+        yield batch.filter(pa.array(keep))
+
+    return base.arrow_map(docs, run, docs.schema)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.documents(spark, sf_dir)
     return rule_columns(docs, train_quality(docs, base.documents(spark, sf_dir, "labels")))
