@@ -85,7 +85,7 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["doc_id", "d1", "d2", "anchors"])
 
     found = base.arrow_map(keyed(docs).where("doc_id is not null"), run, "doc_id long, d1 long, d2 long, anchors array<long>")
-    classes = base.cut(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors")))
+    classes = base.stored(found.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors")))
     rows = classes.select("doc_id", "d1", F.explode("anchors").alias("anchor"))
     common = rows.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     return rows.join(common, "anchor").groupBy("doc_id", "d1").agg(F.collect_list("anchor").alias("shared"))
@@ -93,8 +93,15 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(doc_id, d1, starts): first words of the windows that a document of smaller id has too."""
-    shared = shared_anchors(docs)
-    joined = keyed(docs).select("doc_id", "d1", "text").join(shared.hint("shuffle_hash"), ["doc_id", "d1"])
+    shared = base.stored(shared_anchors(docs))
+    some = base.Bloom(shared, "doc_id")
+
+    def gate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(batch.columns[:3], ["doc_id", "d1", "text"]).filter(pa.array(some.might_hold(*batch.columns[3:])))
+
+    # only texts that may share an anchor move
+    plain = keyed(docs).where("doc_id is not null").select("doc_id", "d1", "text", *some.probes("doc_id"))
+    joined = base.arrow_map(plain, gate, "doc_id long, d1 long, text string").join(shared.hint("shuffle_hash"), ["doc_id", "d1"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = batch.column(3)
@@ -107,7 +114,7 @@ def recurring(docs: DataFrame) -> DataFrame:
                 ids = [pa.array(np.full(len(at), batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(whole), pa.array(at, pa.int32())], ["doc_id", "d1", "window", "start"])
 
-    rows = base.cut(base.arrow_map(joined, run, "doc_id long, d1 long, window long, start int"))
+    rows = base.stored(base.arrow_map(joined, run, "doc_id long, d1 long, window long, start int"))
     owners = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
     return rows.join(owners, "window").where("owner < doc_id").groupBy("doc_id", "d1").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
@@ -157,16 +164,44 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     first = ids.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     copies = ids.join(first, ["d1", "d2"]).where("doc_id > first").select("doc_id", "d1", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()
     edits = recurring(docs).withColumn("copy", F.lit(False)).unionByName(copies)
-    edits = base.cut(edits.groupBy("doc_id", "d1").agg(F.max("copy").alias("copy"), F.max("starts").alias("starts")))
-    joined = keys.select("doc_id", "d1", "text").join(edits.hint("shuffle_hash"), ["doc_id", "d1"], "left").select("doc_id", "text", "copy", "starts")
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc_ids, copy, starts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
-        split = [_WORD.findall(t or "") for t in batch.column(1).to_pylist()]
-        some = [k for k in range(len(split)) if copy[k] is False and starts[k].is_valid]
-        masks = dict(zip(some, locate([(doc_ids[k], split[k], starts[k].values.to_numpy()) for k in some]), strict=True))
-        out: list[list] = [[] for _ in names]
+    edits = base.stored(edits.groupBy("doc_id", "d1").agg(F.max("copy").alias("copy"), F.max("starts").alias("starts")))
+    some = base.Bloom(edits, "doc_id")
+    names = ["doc_id", "d1", "text", "n_words", "n_removed", "kept_sha256"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def row(own: list[str], kept: list[str]) -> tuple[int, int, str, str]:
+        text = " ".join(kept)
+        return len(own), len(own) - len(kept), hashlib.sha256(text.encode()).hexdigest(), text
+
+    def untouched(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole results of texts that lose nothing; the others go on with their text, and only they are heavy to move."""
+        waits = some.might_hold(*batch.columns[3:])
+        out: list[list] = [[] for _ in range(3)]
+        texts = []
+        for text, wait in zip(batch.column(2).to_pylist(), waits.tolist(), strict=True):
+            own = [] if wait else _WORD.findall(text)
+            n, removed, digest, kept = row(own, own)
+            texts.append(text if wait else kept if with_text else None)
+            for column, value in zip(out, (None,) * 3 if wait else (n, removed, digest), strict=True):
+                column.append(value)
+        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array(c, t) for c, t in zip(out, types[3:], strict=True)], names)
+
+    first_pass = base.arrow_map(keys.select("doc_id", "d1", "text", *some.probes("doc_id")), untouched, "doc_id long, d1 long, text string, n_words long, n_removed long, kept_sha256 string")
+    joined = first_pass.join(edits.hint("shuffle_hash"), ["doc_id", "d1"], "left").select(*names, "copy", "starts")
+
+    def edited(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        done = batch.filter(batch.column(5).is_valid())
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(0), *done.columns[3:6], done.column(2)][: 4 + with_text], out_names)
+        batch = batch.filter(batch.column(5).is_null())
+        if not batch.num_rows:
+            return
+        doc_ids, copy, starts = batch.column(0).to_pylist(), batch.column(6).to_pylist(), batch.column(7)
+        split = [_WORD.findall(t) for t in batch.column(2).to_pylist()]
+        marked = [k for k in range(len(split)) if copy[k] is False and starts[k].is_valid]
+        masks = dict(zip(marked, locate([(doc_ids[k], split[k], starts[k].values.to_numpy()) for k in marked]), strict=True))
+        rows = []
         for k, own in enumerate(split):
             if copy[k] and len(own) >= WINDOW:
                 kept = []
@@ -174,14 +209,12 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 kept = [w for w, gone in zip(own, masks[k].tolist(), strict=True) if not gone]
             else:
                 kept = own
-            text = " ".join(kept)
-            values = [doc_ids[k], len(own), len(own) - len(kept), hashlib.sha256(text.encode()).hexdigest(), text]
-            for column, value in zip(out, values, strict=False):
-                column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
+            rows.append(row(own, kept))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types[3:], pa.string()], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns][: 4 + with_text], out_names)
 
-    return base.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    out_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text]
+    return base.arrow_map(joined, edited, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
