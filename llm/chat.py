@@ -56,32 +56,33 @@ def head_role(head: Column) -> Column:
 
 
 def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """(tree, leaf, pos, node) of the best branches; nodes: tree, node, parent, score, node unique in a tree."""
+    """(tree, leaf, pos, node) of the best branches; nodes: tree, node, parent, score, node unique in a tree.
+
+    Round k holds the pointers that span 2**k replies, which only nodes that deep have, and extends every
+    path by those of its nodes: both tables shrink to the deep trees as rounds go on.
+    """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    linked = nodes.join(known, ["tree", "parent"], "left").withColumn("up", F.expr("if(known and parent <> node, parent, null)"))
-    pointers = base.cut(linked.select("tree", "node", "up", F.lit(1).cast("long").alias("hops"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum")))
+    linked = nodes.join(known, ["tree", "parent"], "left").select(
+        "tree", "node", F.expr("if(known and parent <> node, parent, null)").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    )
+    linked = base.cut(linked)
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
-    leaves = pointers.select("tree", "node").join(pointers.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
-    spans, now = [pointers], pointers
-    for _ in range(math.ceil(math.log2(most)) if most > 1 else 0):
-        if now.where("up is not null").isEmpty():
+    span = linked.where("up is not null").select("tree", "node", "up")
+    parents = span.select("tree", F.col("up").alias("node"))
+    paths = linked.select("tree", "node").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    for k in range(math.ceil(math.log2(most)) if most > 1 else 0):
+        paths = base.cut(paths)
+        more = paths.join(span, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + 2**k).alias("back"))
+        paths = paths.union(more)
+        above = span.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
+        span = base.cut(span.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")))
+        if span.isEmpty():
             break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"), F.col("sum").alias("add"))
-        now = base.cut(
-            now.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("next").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.col("sum") + F.coalesce("add", F.lit(0.0))).alias("sum")
-            )
-        )
-        spans.append(now)
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.asc("node")))
-    done = now.where("up is null").join(leaves, ["tree", "node"], "left_semi").withColumn("mean", F.col("sum") / F.col("hops"))
-    paths = done.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("tree", F.col("node").alias("leaf"), "node", F.col("hops").alias("pos"))
-    step = 1
-    for span in spans:
-        far = span.where("up is not null").select("tree", "node", "up")
-        paths = paths.union(paths.join(far, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("pos") - step).alias("pos")))
-        step *= 2
-    return paths.select("tree", "leaf", "pos", "node")
+    paths = base.cut(paths)
+    scored = paths.join(linked, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max(F.col("up").isNull()).alias("rooted")).where("rooted")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.asc("leaf")))
+    best = scored.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("tree", "leaf")
+    return paths.join(best, ["tree", "leaf"]).select("tree", "leaf", (-F.col("back")).alias("pos"), "node")
 
 
 def formatted(turns: DataFrame) -> DataFrame:

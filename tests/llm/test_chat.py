@@ -18,7 +18,7 @@ def test_tree_paths_rank_by_score(spark):
     nodes += [("b", 1, 1, "user", "self", 1.0), ("b", 2, 99, "user", "lost parent", 2.0), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0)]
     frame = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
     paths = sorted((r.tree, r.leaf, r.pos, r.node) for r in best_paths(frame).collect())
-    assert paths == [("a", 5, 1, 1), ("a", 5, 2, 3), ("a", 5, 3, 4), ("a", 5, 4, 5), ("b", 2, 1, 2)]
+    assert paths == [("a", 5, -3, 1), ("a", 5, -2, 3), ("a", 5, -1, 4), ("a", 5, 0, 5), ("b", 2, 0, 2)]
     assert len({(r.tree, r.leaf) for r in best_paths(frame, 9).collect()}) == 4
     turns = {r.tree: [t.text for t in r.turns] for r in read_back(format_trees(frame)).collect()}
     assert turns == {"a": ["q", "good", "more", "end"], "b": ["lost parent"]}
