@@ -37,7 +37,7 @@ from . import base
 from .quality import remainder
 from .textops import LOWER, mix, text_chunks, word_hashes, words
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Tokens of the corpus for each partition of a count table.
 PART_TOKENS = 2_000_000
 K = 5
@@ -110,6 +110,12 @@ def chunked(docs: DataFrame, held_out: Column) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, one held at a time."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Chunk:
     """A chunk's arrays: vocabulary (sorted), token and context indices, and its distinct pairs in key order."""
 
@@ -147,7 +153,7 @@ def requests(chunks: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 c = Chunk(row)
                 c.pairs()
                 for kind, keys, of in ((1, c.vocabulary, c.token), (2, c.keys, c.pair)):
@@ -259,7 +265,7 @@ def context_sums(chunks: DataFrame, found: DataFrame, law: Law, parts: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 c = Chunk(row)
                 c.pairs()
                 count = np.append(_answers(row["answers0"], 1, "total", "<u8").astype(np.int64), law.starts)
@@ -319,7 +325,7 @@ def scores(chunks: DataFrame, found: DataFrame, weights: DataFrame, law: Law) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 c = Chunk(row)
                 c.pairs()
                 count = np.append(_answers(row["answers0"], 1, "total", "<u8").astype(np.int64), law.starts)
