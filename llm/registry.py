@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, language_model, ngram_join, packing, quality, secrets, sharding, substring_dedup
+from . import chat, decontaminate, language_model, ngram_join, oracles, packing, quality, secrets, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -24,4 +24,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_chat_formatting": chat.OP10_SQL}
+    return {
+        "op1_ngram_jaccard_join": oracles.OP1_SQL,
+        "op5_secret_scan": oracles.op5_sql(secrets.RULES),
+        "op8_substring_dedup": oracles.OP8_SQL,
+        "op10_chat_formatting": chat.OP10_SQL,
+    }
