@@ -59,9 +59,14 @@ def encoder(json_path: str, ranks_path: str):
         exact = Tokenizer.from_file(json_path)
 
         def encode(text: str) -> np.ndarray:
-            if SPECIAL in text:
-                return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
-            return np.array(fast.encode_ordinary(text), "<u4")
+            ids = None
+            if SPECIAL not in text:
+                try:
+                    ids = fast.encode_ordinary(text)
+                except BaseException as error:  # its splitting overflows on a million spaces in a row
+                    if type(error).__name__ != "PanicException":
+                        raise
+            return np.array(exact.encode(text, add_special_tokens=False).ids if ids is None else ids, "<u4")
 
         _LOADED[json_path, ranks_path] = encode
     return _LOADED[json_path, ranks_path]
@@ -113,8 +118,23 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+def _few(members: list[int], lengths: list[int]) -> list[int]:
+    """At most two members of each length."""
+    held: dict[int, list[int]] = {}
+    for k in members:
+        own = held.setdefault(lengths[k], [])
+        if len(own) < 2:
+            own.append(k)
+    return [k for own in held.values() for k in own]
+
+
 def _improve(a: list[int], b: list[int], room: int, lengths: list[int]) -> bool:
-    """One exchange that moves tokens from a to b, the fuller one, within its room; the largest of its kind."""
+    """One exchange that moves tokens from a to b, the fuller one, within its room; the largest of its kind.
+
+    Of equal lengths two are looked at, so a bin of very many small pieces has few to try.
+    """
+    whole_a, whole_b = a, b
+    a, b = _few(a, lengths), _few(b, lengths)
     best = (0, (), ())
     for x in a:
         n = lengths[x]
@@ -144,11 +164,11 @@ def _improve(a: list[int], b: list[int], room: int, lengths: list[int]) -> bool:
         return False
     _, out, back = best
     for x in out:
-        a.remove(x)
+        whole_a.remove(x)
     for y in back:
-        b.remove(y)
-    a.extend(back)
-    b.extend(out)
+        whole_b.remove(y)
+    whole_a.extend(back)
+    whole_b.extend(out)
     return True
 
 

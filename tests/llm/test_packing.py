@@ -16,7 +16,7 @@ def reference_ids(text):
 
 def test_encoder_matches_tokenizer():
     encode = m.encoder(*m.tokenizer_paths())
-    for text in ("", "Hello  world\n\n x", "naïve 𝄞 été <|endoftext|> tail", " \t\r\n", "a" * 5000, "12 345's 'll", "\x00�"):
+    for text in ("", "Hello  world\n\n x", "naïve 𝄞 été <|endoftext|> tail", " \t\r\n", "a" * 5000, "12 345's 'll", "\x00�", " " * 1_000_000 + "x"):
         assert [*encode(text).tolist(), 2] == reference_ids(text)
 
 
@@ -32,6 +32,14 @@ def test_best_fit_and_search():
         assert len(bins) <= least + max(2, n // 50)
 
 
+def test_many_small_pieces():
+    lengths = [2] * 1011 + [1] * 3 + [7] * 300
+    bins = [list(range(0, 500)), list(range(500, 1011)), [1011, 1012, 1013], list(range(1014, 1150)), list(range(1150, 1290)), list(range(1290, 1314))]
+    out = m.local_search(bins, lengths)
+    assert sorted(k for b in out for k in b) == list(range(len(lengths))) and max(sum(lengths[k] for k in b) for b in out) <= 1024
+    assert len(m.pack_lengths(lengths)) == -(-sum(lengths) // 1024)
+
+
 def test_local_search_empties_a_bin():
     lengths = [600, 400, 500, 300, 224]
     assert len(m.local_search([[0], [1, 2], [3, 4]], lengths)) == 2
