@@ -12,6 +12,7 @@ from .textops import LOWER, mix, text_chunks, windows, word_hashes, words
 #: Hashed dimensions; word unigrams, word bigrams and byte trigrams share them.
 DIMENSIONS = 2048
 DENSE = 12
+GRAM_BYTES = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -129,13 +130,24 @@ class Chunk:
         hashes = word_hashes(lower, self.starts, self.stops)
         pairs = windows(hashes, 2)
         inside = self.owner[: len(pairs)] == self.owner[1:] if len(pairs) else np.zeros(0, bool)
-        grams = (lower[:-2].astype(np.uint64) << np.uint64(16)) | (lower[1:-1].astype(np.uint64) << np.uint64(8)) | lower[2:] if len(lower) > 2 else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(self.texts), np.diff(self.offsets))
-        same = owner[: len(grams)] == owner[2:] if len(grams) else np.zeros(0, bool)
         counts = np.zeros((self.texts, dimensions))
-        for keys, of, salt in ((hashes, self.owner, 1), (pairs[inside], self.owner[: len(pairs)][inside], 2), (grams[same], owner[: len(grams)][same], 3)):
+
+        def add(keys: np.ndarray, of: np.ndarray, salt: int, into: np.ndarray) -> None:
             slot = (mix(keys + np.uint64(salt * 0x1234567)) % np.uint64(dimensions)).astype(np.int64)
-            counts += np.sqrt(np.bincount(of * dimensions + slot, minlength=self.texts * dimensions).reshape(self.texts, dimensions))
+            into += np.bincount(of * dimensions + slot, minlength=into.size).reshape(into.shape)
+
+        for keys, of, salt in ((hashes, self.owner, 1), (pairs[inside], self.owner[: len(pairs)][inside], 2)):
+            own = np.zeros_like(counts)
+            add(keys, of, salt, own)
+            counts += np.sqrt(own)
+        own = np.zeros_like(counts)
+        for a in range(0, max(0, len(lower) - 2), GRAM_BYTES):  # a long text's trigrams in runs
+            part = lower[a : a + GRAM_BYTES + 2].astype(np.uint64)
+            owner = np.searchsorted(self.offsets, np.arange(a, a + len(part)), "right") - 1
+            same = owner[:-2] == owner[2:]
+            grams = (part[:-2] << np.uint64(16)) | (part[1:-1] << np.uint64(8)) | part[2:]
+            add(grams[same], owner[:-2][same], 3, own)
+        counts += np.sqrt(own)
         return (counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def features(self) -> np.ndarray:

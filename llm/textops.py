@@ -79,7 +79,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes; a long text is hashed in runs of words of about CHUNK_BYTES."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return _hash_run(data, starts, stops)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(stops, starts[at] + CHUNK_BYTES, "right")))
+        first = starts[at]
+        out[at:end] = _hash_run(data[first : stops[end - 1]], starts[at:end] - first, stops[at:end] - first)
+        at = end
+    return out
+
+
+def _hash_run(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
