@@ -49,13 +49,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = base.cut(secrets.update(docs).where("size(spans) > 0").select("blob", F.array_sort("spans").alias("spans")))
+    ledger = ledger.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = docs.withColumn("blob", blob).join(decontaminate.bounded(ledger), "blob", "left")
-    none = F.array().cast(secrets.SPAN)
-    text = F.when(F.size(F.coalesce("spans", none)) > 0, secrets.masked(F.col("text"), F.coalesce("spans", none))).otherwise(F.col("text"))
-    masked = joined.withColumn("text", text)
+    joined = docs.withColumn("__blob", blob).join(decontaminate.bounded(ledger), "__blob", "left")
+    found = F.coalesce("__spans", F.array().cast(secrets.SPAN))
+    changed = F.size(found) > 0
+    masked = joined.withColumn("text", F.when(changed, secrets.masked(F.col("text"), found)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size(F.coalesce("spans", none)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,19 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     return found.dropDuplicates(["blob"])
 
 
+def record(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger table at ``path`` lacks, appends it there and returns the whole ledger."""
+    spark = docs.sparkSession
+    try:
+        before = spark.read.parquet(path)
+    except AnalysisException as error:  # the first call has no table yet
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = None
+    base.cut(update(docs, before, rules)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """(doc_id, spans) of every path: the ledger's spans of its blob by start, then rule."""
     hits = ledger.where("size(spans) > 0").groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))

@@ -45,10 +45,12 @@ def test_stages_against_brute_force(spark):
 def test_repeated_rows_nulls_and_empty(spark):
     text = " ".join(f"word{k}" for k in range(60))
     rows = [(1, text, "a"), (1, text, "b"), (2, text + " more", "c"), (None, text, "d"), (3, None, "e"), (4, "token=abcdefgh " + text[::-1], "f")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, blob string").withColumnRenamed("blob", "lang")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, blob string")
+    docs = docs.select("*", docs["blob"].alias("spans"), docs["blob"].alias("score"), docs["doc_id"].alias("component_id"))
     kept = p.ngram_jaccard_join(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
     clean = {str(r.doc_id): r.text for r in p.secret_scans(spark, docs, SF).collect()}
+    assert p.secret_scans(spark, docs, SF).columns == docs.columns
     assert clean["4"].startswith("[secret] ") and clean["3"] is None
     empty = docs.limit(0)
     for _, stage in p.STAGES:

@@ -49,6 +49,14 @@ def test_ledger_is_incremental(spark):
     assert m.update(first.limit(0)).count() == 0
 
 
+def test_recorded_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "x")], "doc_id long, text string")
+    assert m.record(docs, path).count() == 2
+    more = docs.union(spark.createDataFrame([(3, "y")], "doc_id long, text string"))
+    assert m.record(more, path).count() == 3 and m.record(more, path).count() == 3
+
+
 def test_masked(spark):
     span = "array<struct<start:int,rank:int,end:int,kind:string>>"
     rows = [("abcdefghij", [(1, 0, 3, "a"), (2, 1, 5, "b"), (8, 0, 9, "a")]), ("none", [])]
