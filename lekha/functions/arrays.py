@@ -116,8 +116,5 @@ def text_length(conversations: Column | str) -> Column:
 
 def row_shape(ids: Column | str, labels: Column | str, pad: int) -> Column:
     """Counts of a row: tokens, pads, ignored labels."""
-    return F.struct(
-        F.size(col(ids)).alias("tokens"),
-        F.size(F.filter(col(ids), lambda x: x == pad)).alias("pads"),
-        F.size(F.filter(col(labels), lambda x: x == IGNORE_INDEX)).alias("ignored"),
-    )
+    count = lambda x, value: F.size(F.filter(col(x), lambda y: y == value))
+    return F.struct(F.size(col(ids)).alias("tokens"), count(ids, pad).alias("pads"), count(labels, IGNORE_INDEX).alias("ignored"))

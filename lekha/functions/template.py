@@ -140,3 +140,12 @@ def chat_pairs(messages: Column | str, offset: int = 0) -> Column:
     rest = F.slice(col(messages), F.lit(offset + 1), F.greatest(F.size(col(messages)), F.lit(1)))
     places = F.when(F.size(rest) > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.size(rest) - 1, F.lit(0))), lambda i: i % 2 == 0)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.array(F.get(rest, i), F.get(rest, i + 1)))
+
+
+def message_text(message: Column | str) -> Column:
+    """The text of a message that comes as a struct of text and media."""
+    return col(message)["text"]
+
+
+def known_model(name: Column | str, models: list[str]) -> Column:
+    return F.coalesce(col(name).isin(models), F.lit(False))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import audio as W
 from ..functions import template as T
 from ..functions import text as X
+from ..functions import tokens as K
 from ..operators import conversation as C
 from ..session import table
 from . import sqltext as S
@@ -276,3 +278,26 @@ def _audio(spark: SparkSession, sf_dir: str, keep: bool) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a/"), "doc_id", F.lit(".wav")).alias("speech"))
     files = table(spark, sf_dir, "labels").select(F.concat(F.lit("/data/audio/"), "doc_id", F.lit(".wav")).alias("path"))
     return C.existing_audio(d, files, keep).select("doc_id")
+
+
+@query("SELECT vec_id, CAST(128 AS BIGINT) AS samples, CAST(100 AS BIGINT) AS frames, CAST(40 AS BIGINT) AS bands FROM embeddings")
+def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 kHz waveforms: decoded by precedence, resampled, and their log-mel frames."""
+    none = F.lit(None).cast("binary")
+    wave = W.decode_audio(F.transform("embedding", lambda x: x.cast("float")), none, none, F.lit(8000))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", wave.alias("w"))
+    rows = rows.select("vec_id", "w", W.mel_features("w", 40, 1).alias("m"))
+    return rows.select("vec_id", F.size("w").cast("long").alias("samples"), F.size("m").cast("long").alias("frames"), F.size(F.col("m")[0]).cast("long").alias("bands"))
+
+
+@query(f"""WITH {WORDS} SELECT conv_id, CASE WHEN len(q) > 20 THEN -1 ELSE len(q) END AS dropped, CAST(least(20, len(q)) AS BIGINT) AS truncated, len(q) AS kept FROM w""")
+def overlength_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(spark, sf_dir).select("conv_id", F.transform(X.split_words(ask(0)), lambda w: F.length(w)).alias("ids"))
+    size = lambda policy: F.coalesce(F.size(K.overlength(F.size("ids"), 20, policy, F.col("ids"))), F.lit(-1)).cast("long")
+    return rows.select("conv_id", *[size(p).alias(n) for p, n in (("drop", "dropped"), ("truncate", "truncated"), ("keep", "kept"))])
+
+
+@query(f"""WITH {WORDS} SELECT conv_id, CAST(1 + len(q) + len(a) AS BIGINT) AS tokens, CAST(1 + len(q) AS BIGINT) AS ignored, CAST(len(list_filter(list_concat(q, a), lambda x: length(x) = 2)) AS BIGINT) AS pads FROM w""")
+def row_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_rows(spark, sf_dir).select("conv_id", A.row_shape("ids", A.label_mask("ids", F.col("prefix")), 3).alias("s"))
+    return rows.select("conv_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("tokens", "ignored", "pads")])

@@ -48,3 +48,10 @@ def test_upsert(spark, tmp_path):
         S.upsert_epochs(stream, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
         last = spark.read.parquet(str(tmp_path / "out" / f"v={k}")).orderBy(F.col("epoch")).collect()
     assert [(r.epoch, r.lr, r.train_loss, r.val_loss) for r in last] == [(0, 0.1, 2.0, 3.0), (1, 0.3, 1.0, None)]
+
+
+def test_observation(spark):
+    from lekha.streaming.monitor import observed
+
+    frame, watch = observed(spark.range(10), even=F.count_if(F.col("id") % 2 == 0))
+    assert frame.count() == 10 and watch.get == {"rows": 10, "even": 5}
