@@ -7,7 +7,7 @@ few counts of counts) absolute discounting takes their place; a context whose co
 scaled so that it does.
 
 How it runs at size. Texts become chunks of at most CHUNK_TOKENS tokens: the distinct word hashes and the
-token stream as indices into them, compressed, in a table bucketed by chunk. The count tables are
+token stream as indices into them, compressed, in a table in the shared folder, bucketed by chunk. The count tables are
 partitioned by hash: a chunk asks each partition for its slice of distinct keys, as one packed row, with
 its own training counts; the partition adds the counts of all chunks, keeps the order of keys and answers
 with totals. So a frequent word or pair costs one entry a chunk, and no key gathers rows. Rounds:
@@ -365,7 +365,8 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     table = f"katz_chunks_{uuid.uuid4().hex}"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunked(docs, held_out).write.bucketBy(width, "chunk").sortBy("chunk").saveAsTable(table)
+    writer = chunked(docs, held_out).write.option("path", f"{base.shared_folder(spark)}/{table}")
+    writer.bucketBy(width, "chunk").sortBy("chunk").saveAsTable(table)
     chunks = spark.table(table)
     size = chunks.agg(F.sum("tokens")).first()[0] or 0
     parts = 1 << max(0, int(np.ceil(np.log2(max(1, size / PART_TOKENS)))))
