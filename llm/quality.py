@@ -57,7 +57,7 @@ class Linear:
     shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.center) / self.scale) @ self.weights + self.bias
+        return ((x.astype(np.float32) - self.center) / self.scale) @ self.weights + self.bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * self.margin(x) + self.shift)
@@ -67,11 +67,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _scales(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    center, spread = x.mean(0), x.std(0)
-    spread = np.maximum(spread, 1e-3)
-    spread[DENSE:] = max(float(np.sqrt((spread[DENSE:] ** 2).mean())), 1e-3)  # one scale for hashed counts: rare ones stay small
-    return center, spread * np.sqrt(np.where(np.arange(len(spread)) < DENSE, 1.0, 8.0))
+def _standardised(*parts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The parts in one scale, as float32 in place of one copy, and the scale: the driver holds little else."""
+    z = np.concatenate(parts).astype(np.float32)
+    center, spread = z.mean(0), np.maximum(z.std(0), np.float32(1e-3))
+    if spread[DENSE:].size:
+        spread[DENSE:] = max(float(np.sqrt((spread[DENSE:] ** 2).mean())), 1e-3)  # one scale for hashed counts: rare ones stay small
+    scale = spread * np.sqrt(np.where(np.arange(len(spread)) < DENSE, 1.0, 8.0)).astype(np.float32)
+    z -= center
+    z /= scale
+    return np.split(z, np.cumsum([len(p) for p in parts])[:-1]), center, scale
 
 
 def _adam(gradient, size: int, steps: int = 400, rate: float = 0.03) -> np.ndarray:
@@ -84,12 +89,11 @@ def _adam(gradient, size: int, steps: int = 400, rate: float = 0.03) -> np.ndarr
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 2e-3) -> Linear:
-    center, scale = _scales(x)
-    z = (x - center) / scale
+    (z,), center, scale = _standardised(x)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
 
     def gradient(p: np.ndarray) -> np.ndarray:
-        e = (sigmoid(z @ p[:-1] + p[-1]) - y) * weight
+        e = ((sigmoid(z @ p[:-1].astype(np.float32) + p[-1]) - y) * weight).astype(np.float32)
         return np.append(z.T @ e + decay * p[:-1], e.sum())
 
     p = _adam(gradient, x.shape[1] + 1)
@@ -121,18 +125,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 2e-3) -> Linear:
     """Minimises the non-negative risk; where the negative part falls below zero its gradient is turned back."""
-    center, scale = _scales(np.concatenate([positive, unlabelled]))
-    p, u = (positive - center) / scale, (unlabelled - center) / scale
+    (p, u), center, scale = _standardised(positive, unlabelled)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = sigmoid(p @ w[:-1] + w[-1]), sigmoid(u @ w[:-1] + w[-1])
+        v = w[:-1].astype(np.float32)
+        sp, su = sigmoid(p @ v + w[-1]), sigmoid(u @ v + w[-1])
         loss_u, loss_p = -np.log(np.maximum(1 - su, 1e-12)).mean(), -np.log(np.maximum(1 - sp, 1e-12)).mean()
         e_pos = prior * (sp - 1) / len(p)
         e_neg_p, e_neg_u = -prior * sp / len(p), su / len(u)
         if loss_u - prior * loss_p < 0:
             e_pos, e_neg_p, e_neg_u = np.zeros(len(p)), -e_neg_p, -e_neg_u
         e_p = e_pos + e_neg_p
-        return np.append(p.T @ e_p + u.T @ e_neg_u + decay * w[:-1], e_p.sum() + e_neg_u.sum())
+        return np.append(p.T @ e_p.astype(np.float32) + u.T @ e_neg_u.astype(np.float32) + decay * w[:-1], e_p.sum() + e_neg_u.sum())
 
     w = _adam(gradient, positive.shape[1] + 1, 500)
     return Linear(center, scale, w[:-1], float(w[-1]))
@@ -155,7 +159,7 @@ def sampled_features(docs: DataFrame, ids: DataFrame, rows: int) -> dict[str, np
     values = got.column("x").to_pylist()
     for k in order.tolist():
         out.setdefault(kinds[k], []).append(np.frombuffer(values[k], np.float16))
-    return {k: np.stack(v).astype(np.float32) for k, v in out.items()}
+    return {k: np.stack(v) for k, v in out.items()}
 
 
 def labelled(labels: DataFrame, training: Column | None) -> DataFrame:
