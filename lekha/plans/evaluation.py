@@ -80,7 +80,7 @@ def argmin_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_SCORES = "SELECT l_orderkey AS sample_idx, l_linenumber AS ord, l_linestatus || l_linenumber AS answer, l_quantity AS mean_nll, l_linenumber AS start, CAST(l_discount * 100 AS INT) AS length FROM lineitem"
 
 
-@query(f"""WITH s AS ({LINE_SCORES}), v AS (SELECT * FROM s WHERE length > start AND start >= 0), b AS (SELECT sample_idx, min(mean_nll) AS nll, arg_min(answer, mean_nll * 100 + ord) AS best FROM v GROUP BY sample_idx)
+@query(f"""WITH s AS ({LINE_SCORES}), v AS (SELECT * FROM s WHERE length > start AND start >= 0), b AS (SELECT sample_idx, mean_nll AS nll, answer AS best FROM (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY mean_nll, ord, answer) AS r FROM v) WHERE r = 1)
     SELECT o.o_orderkey AS sample_idx, coalesce(nll, 'inf'::DOUBLE) AS nll, coalesce(best, 'none') AS best_answer, coalesce(nll, 'inf'::DOUBLE) >= 50 AS overflow FROM orders o LEFT JOIN b ON o.o_orderkey = b.sample_idx""")
 def best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(
@@ -170,7 +170,7 @@ def greedy_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_orderkey AS sample_idx, l_linenumber AS ord, l_discount AS precision, l_tax AS recall, CASE WHEN l_discount + l_tax = 0 THEN 0 ELSE 2 * l_discount * l_tax / (l_discount + l_tax) END - 0.05 AS f1 FROM lineitem),
-    b AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY f1 DESC, ord) AS r FROM s) SELECT sample_idx, CASE WHEN f1 > 0 THEN precision ELSE 0 END AS precision, CASE WHEN f1 > 0 THEN recall ELSE 0 END AS recall FROM b WHERE r = 1""")
+    b AS (SELECT *, row_number() OVER (PARTITION BY sample_idx ORDER BY f1 DESC, ord, precision DESC, recall DESC) AS r FROM s) SELECT sample_idx, CASE WHEN f1 > 0 THEN precision ELSE 0 END AS precision, CASE WHEN f1 > 0 THEN recall ELSE 0 END AS recall FROM b WHERE r = 1""")
 def best_bert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, t = F.col("l_discount"), F.col("l_tax")
     f1 = F.when(d + t == 0, F.lit(0.0)).otherwise(2 * d * t / (d + t)) - 0.05

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import logged, queue_length
 from ..operators import serving as V
 from ..operators import training as R
+from ..operators.conversation import with_position
 from ..session import table
 
 QUERIES: dict = {}
@@ -67,8 +68,8 @@ def ckpt_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("user_id") == 3, F.lit("run/final_model")).otherwise(F.concat(F.lit("run/u"), "user_id"))
     ordered = R.resume_order(events(spark, sf_dir).select(path.alias("path"), F.col("value").alias("val_loss"), F.col("event_id").alias("mtime")))
-    place = F.row_number().over(Window.orderBy(F.when(F.col("path").endswith("final_model"), 1).otherwise(2), "val_loss", F.desc("mtime"), "path"))
-    return ordered.select("path", place.cast("long").alias("place"))
+    keyed = ordered.withColumn("_class", F.when(F.col("path").endswith("final_model"), 1).otherwise(2)).withColumn("_newest", -F.col("mtime"))
+    return with_position(keyed, "_class", "val_loss", "_newest", "path").select("path", (F.col("pos") + 1).alias("place"))
 
 
 PARAMS = "p AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'lora_A' WHEN 1 THEN 'lora_B' WHEN 2 THEN 'projector' END AS grp, CAST(embedding[1] AS DOUBLE) AS g, CAST(embedding[2] AS DOUBLE) AS w, vec_id % 5 <> 0 AS live FROM embeddings)"
