@@ -55,27 +55,30 @@ def prefix_size(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return n - need + c, c
 
 
-def signatures(docs: DataFrame, prefixes: bool) -> DataFrame:
-    """(doc_id, n, d1, d2[, prefix]) of each document."""
+def signatures(docs: DataFrame, doubtful: base.Bloom | None = None) -> DataFrame:
+    """(doc_id, n, d1, d2) of each document; with a filter also (prefix, sure): the tokens of its prefix, and
+    whether the filter rules out that the document is doubtful."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, d1, d2, lengths, parts = [], [], [], [0], []
         for _, own in shingle_sets(batch.column(1), SHINGLE):
             a, b = _digest(own)
             n.append(len(own)), d1.append(a), d2.append(b)
-            if prefixes:
+            if doubtful is not None:
                 part = own[: prefix_size(len(own))[0]] if len(own) else own
                 parts.append(part), lengths.append(lengths[-1] + len(part))
         out = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
         names = ["doc_id", "n", "d1", "d2"]
-        if prefixes:
+        if doubtful is not None:
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             out.append(pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat.view(np.int64))))
-            names.append("prefix")
+            out.append(pa.array(~doubtful.might_hold(*batch.columns[2:])))
+            names += ["prefix", "sure"]
         yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = "doc_id long, n long, d1 long, d2 long" + ", prefix array<long>" * prefixes
-    return base.arrow_map(base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, schema)
+    schema = "doc_id long, n long, d1 long, d2 long" + (", prefix array<long>, sure boolean" if doubtful is not None else "")
+    plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return base.arrow_map(plain if doubtful is None else plain.select("*", *doubtful.probes("doc_id")), run, schema)
 
 
 def _only_shared(rows: DataFrame) -> DataFrame:
@@ -84,13 +87,18 @@ def _only_shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "token")
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (rep, n, d1, d2, copies) and candidate components (id, component) of representatives."""
-    signed = signatures(docs, True).where("doc_id is not null and n > 0")
-    classes = base.cut(
-        signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-    rows = classes.select("rep", F.explode("prefix").alias("token"))
+    linking = signed.where("doc_id is not null and n > 0")
+    classes = base.cut(linking.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    # only copies, and ids that repeat, are held against the classes: all other documents represent their class
+    copies = linking.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select("doc_id")
+    repeated = linking.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    doubtful = base.Bloom(base.cut(copies.union(repeated).distinct()), "doc_id")
+    prefixes = base.stored(signatures(docs, doubtful).where("doc_id is not null and n > 0").select(F.col("doc_id").alias("rep"), "d1", "d2", "prefix", "sure"))
+    tokens = lambda df: df.select("rep", F.explode("prefix").alias("token"))
+    checked = prefixes.where("not sure").join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
+    rows = tokens(prefixes.where("sure")).union(tokens(checked))
     shared = _only_shared(rows).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     c = F.greatest(F.lit(1), F.least(F.expr("n div 10"), F.ceil(F.col("n") * PERCENT / 100)))
     rare = (
@@ -244,7 +252,7 @@ def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
 
     plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     sets = base.arrow_map(plain.select("doc_id", "text", *reps.probes("doc_id")), gate, "d1 long, d2 long, own binary")
-    sets = sets.join(members.select("rep", "d1", "d2", "copies"), ["d1", "d2"]).groupBy("rep").agg(F.first("copies").alias("copies"), F.first("own").alias("own"))
+    sets = sets.join(members.select("rep", "d1", "d2", "copies"), ["d1", "d2"]).groupBy("rep", "d1", "d2").agg(F.first("copies").alias("copies"), F.first("own").alias("own"))
 
     def task(table: pa.Table) -> pa.Table:
         reps, copies, sides = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
@@ -257,8 +265,8 @@ def linked(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of each row of docs."""
-    classes, groups = candidates(docs)
-    classes = base.cut(classes)
+    signed = base.cut(signatures(docs))
+    classes, groups = candidates(docs, signed)
     found = base.cut(linked(docs, classes, groups))
     joined = base.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -267,7 +275,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         .join(joined.withColumnRenamed("id", "rep"), "rep", "left")
         .select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
-    rows = signatures(docs, False).join(named, ["d1", "d2"], "left")
+    rows = signed.join(named, ["d1", "d2"], "left")
     alone = F.expr("doc_id is null or n = 0")
     return rows.select(
         "doc_id",
