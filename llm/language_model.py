@@ -37,7 +37,7 @@ from . import base
 from .quality import remainder
 from .textops import LOWER, mix, text_chunks, word_hashes, words
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_250_000
 #: Tokens of the corpus for each partition of a count table.
 PART_TOKENS = 2_000_000
 K = 5
@@ -139,13 +139,13 @@ class Chunk:
 
 
 def _slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(partition, from, to) of the ranges that partitions hold of ascending keys."""
+    """(partition, from, to) of the ranges that partitions hold of ascending keys; work follows the keys, not the partitions."""
     bits = parts.bit_length() - 1
-    edges = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-    edges = [0, *map(int, edges), len(keys)]
-    for k in range(parts):
-        if edges[k + 1] > edges[k]:
-            yield k, edges[k], edges[k + 1]
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(keys)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield int(of[a]), a, b
 
 
 def requests(chunks: DataFrame, parts: int) -> DataFrame:

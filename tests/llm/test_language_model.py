@@ -98,6 +98,16 @@ def test_packing_round_trip():
     assert (m.unpack(m.pack(y), "<f8") == y).all()
 
 
+def test_slices_cover_keys():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    for parts in (1, 2, 64, 1 << 20):
+        got = list(m._slices(keys, parts))
+        assert [k for _, a, b in got for k in range(a, b)] == list(range(500)) and len({p for p, _, _ in got}) == len(got)
+        assert all(int(keys[k]) * parts >> 64 == p for p, a, b in got for k in range(a, b))
+    assert list(m._slices(keys[:0], 8)) == []
+
+
 def test_empty_and_held_out_only(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert m.katz_scores(empty, F.lit(False)).count() == 0
