@@ -4,8 +4,8 @@ Sets of distinct five-word shingles; two documents link at Jaccard similarity 0.
 
 1. Documents with equal sets form a class (128-bit digest); one representative of each goes on.
 2. Order tokens by hash. A linking pair has its first ``c`` common tokens within the first
-   ``n - ceil(t n) + c`` tokens of both (c is a tenth of n here), so only those are shuffled, and a
-   document goes on only if at least c of them occur in another class. Most documents end here.
+   ``n - ceil(t n) + c`` tokens of both (c is a tenth of n here), so only those are stored and grouped by
+   token, and a document goes on only if at least c of them occur in another class. Most documents end here.
 3. Of such a document's shared prefix tokens the commonest ``c - 1`` may be left out. The rest, the
    rare ones, connect candidates; components of that graph never separate a linking pair.
 4. Each component is cut into blocks of bounded size, by size class and hash; each pair of blocks that

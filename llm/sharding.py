@@ -28,7 +28,8 @@ from . import base
 SHARDS = 40
 SEED = 9
 PIECE_ROWS = 100_000
-MAX_PARTITIONS = 8192
+#: Source partitions: by size, within these bounds.
+MIN_PARTITIONS, MAX_PARTITIONS = 16, 8192
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -85,7 +86,7 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, se
     """df with ``shard`` and ``slot`` (gapless from 0 in each shard); keys identify a row."""
     spark = df.sparkSession
     rows = df.select(*keys).count()
-    parts = max(1, min(MAX_PARTITIONS, -(-rows // PIECE_ROWS)))
+    parts = min(MAX_PARTITIONS, max(MIN_PARTITIONS, -(-rows // PIECE_ROWS)))
     hashed = lambda k: F.xxhash64(F.lit(seed * 10 + k), *keys)
     dealt = df.withColumn("_part", F.pmod(hashed(0), F.lit(parts)).cast("int"))
     counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
