@@ -99,7 +99,7 @@ def candidates(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     tokens = lambda df: df.select("rep", F.explode("prefix").alias("token"))
     checked = prefixes.where("not sure").join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
     rows = tokens(prefixes.where("sure")).union(tokens(checked))
-    shared = _only_shared(rows).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = base.cut(_only_shared(rows).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")))
     c = F.greatest(F.lit(1), F.least(F.expr("n div 10"), F.ceil(F.col("n") * PERCENT / 100)))
     rare = (
         shared.join(classes.select("rep", "n"), "rep")
