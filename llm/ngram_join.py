@@ -81,9 +81,14 @@ def signatures(docs: DataFrame, doubtful: base.Bloom | None = None) -> DataFrame
     return base.arrow_map(plain if doubtful is None else plain.select("*", *doubtful.probes("doc_id")), run, schema)
 
 
-def _only_shared(rows: DataFrame) -> DataFrame:
-    """Rows (token, rep) whose token has another rep, with df and the smallest rep."""
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("least")).where("df > 1")
+def _only_shared(rows: DataFrame, least: bool) -> DataFrame:
+    """Rows (token, rep) whose token has another rep, with its df and, if asked, its smallest rep.
+
+    The counts are stored, so that the join reads both sides from exchanges of its own and a token with
+    very many rows can be split.
+    """
+    smallest = [F.min("rep").alias("least")] if least else []
+    counts = base.stored(rows.groupBy("token").agg(F.count("*").alias("df"), *smallest).where("df > 1"))
     return rows.join(counts, "token")
 
 
@@ -99,7 +104,7 @@ def candidates(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     tokens = lambda df: df.select("rep", F.explode("prefix").alias("token"))
     checked = prefixes.where("not sure").join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
     rows = tokens(prefixes.where("sure")).union(tokens(checked))
-    shared = base.cut(_only_shared(rows).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")))
+    shared = base.cut(_only_shared(rows, False).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")))
     c = F.greatest(F.lit(1), F.least(F.expr("n div 10"), F.ceil(F.col("n") * PERCENT / 100)))
     rare = (
         shared.join(classes.select("rep", "n"), "rep")
@@ -108,7 +113,7 @@ def candidates(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
         .select("rep", F.explode(F.expr("slice(shared, 1, size(shared) - c + 1)")).alias("x"))
         .select("rep", F.col("x.token").alias("token"))
     )
-    edges = _only_shared(rare).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    edges = _only_shared(rare, True).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     return classes.select("rep", "n", "d1", "d2", "copies"), base.components(edges)
 
 
