@@ -116,6 +116,7 @@ def recurring(docs: DataFrame) -> DataFrame:
 
     rows = base.stored(base.arrow_map(joined, run, "doc_id long, d1 long, window long, start int"))
     owners = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
+    owners = base.stored(owners)  # a join of two exchanges: a window with very many rows can be split
     return rows.join(owners, "window").where("owner < doc_id").groupBy("doc_id", "d1").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
