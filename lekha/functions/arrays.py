@@ -96,13 +96,18 @@ def masked_mean_nll(logprobs: Column | str, mask: Column | str) -> Column:
     return -total / F.greatest(F.size(F.filter(col(mask), lambda m: m)), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once: an expression inside a lambda would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def layer_norm(x: Column | str, eps: float = 1e-5) -> Column:
     x = col(x)
     n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / n
-    moved = F.transform(x, lambda v: v.cast("double") - mean)
-    spread = F.sqrt(F.aggregate(moved, F.lit(0.0), lambda a, v: a + v * v) / n + eps)
-    return F.transform(moved, lambda v: v / spread)
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
+    mean = total(x, lambda v: v.cast("double")) / n
+    moved = let(mean, lambda m: F.transform(x, lambda v: v.cast("double") - m))
+    return let(moved, lambda y: let(F.sqrt(total(y, lambda v: v * v) / n + eps), lambda s: F.transform(y, lambda v: v / s)))
 
 
 def int16_to_float(x: Column | str) -> Column:

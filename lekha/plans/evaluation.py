@@ -163,7 +163,7 @@ def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT g, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 4) AS f1 FROM p JOIN r USING (g)""")
 def greedy_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("g"), (F.col("vec_id") % 4).alias("k"), F.transform("embedding", lambda x: x.cast("double") / norm).alias("v"))
+    unit = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("g"), (F.col("vec_id") % 4).alias("k"), A.let(norm, lambda n: F.transform("embedding", lambda x: x.cast("double") / n)).alias("v"))
     sides = unit.groupBy("g").agg(F.array_sort(F.collect_list(F.when(F.col("k") < 2, F.struct("k", "v")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("k") >= 2, F.struct("k", "v")))).alias("b"))
     rows = sides.where("size(a) > 0 and size(b) > 0").select("g", F.transform("a", lambda x: x["v"]).alias("a"), F.transform("b", lambda x: x["v"]).alias("b"))
     return M.greedy_cosine(rows, "a", "b").select("g", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 4).alias("f1"))
