@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as references of the documents with their number."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 400).alias("prediction"))
+    """Benchmark items as references of the whole documents with their number."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("prediction"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold")).join(d, "item_id")
 
 
