@@ -1,16 +1,16 @@
-"""Operator 2, benchmark decontamination by SimHash of item-sized windows.
+"""Operator 2, benchmark decontamination by item-sized windows, exact, with SimHash distances.
 
-For each benchmark item, windows of a document that are as long as the item are fingerprinted: a 64-bit
-SimHash of the window's words, weighted by their counts. Fingerprints meet in a multi-index: cut into
-RADIUS + 1 blocks, two within RADIUS bits agree on a block at least, so a join on (size, block, value)
-misses none. Each pair within the radius is verified exactly, by the weighted Jaccard similarity of
-five-word shingles (sum of the smaller counts over the sum of the larger), THRESHOLD or more.
+For each benchmark item, windows of a document that are as long as the item are verified exactly, by the
+weighted Jaccard similarity of five-word shingles (sum of the smaller counts over the sum of the larger),
+THRESHOLD or more. The best window of a (document, item) pair gets a fingerprint, a 64-bit SimHash of its
+words weighted by their counts, and its distance in bits from the item's.
 
-Only windows that can pass verification are fingerprinted: shingles are joined with the benchmark's, and a
-(document, item) pair goes on if as many of them match as the threshold needs; its windows are those
-that put a matching shingle where the item has it. The rest of the corpus ends at that join. Everything
-is DataFrame expressions. The benchmark side is broadcast only if its counted shingles stay within
-BROADCAST_ROWS, otherwise the join shuffles; the same holds for the candidate windows.
+Only windows that can pass verification are looked at: shingles are joined with the benchmark's, and of a
+(document, item) pair all windows go on that hold as many matching places as the threshold needs, wherever
+the item has those shingles. The distance drops no window: it can exceed RADIUS at similarity THRESHOLD.
+The rest of the corpus ends at the join. Everything is DataFrame expressions. The benchmark side is
+broadcast only if its counted shingles stay within BROADCAST_ROWS, otherwise the join shuffles; the same
+holds for the candidate windows.
 
 Defined cases: null or blank texts and items match nothing; an item of fewer than five words is one
 shingle, matched whole; a document shorter than an item is one window, itself; repeated items are
@@ -73,22 +73,32 @@ def items(benchmark: DataFrame) -> DataFrame:
     )
 
 
+#: SQL of the starts of all windows with ``least`` of the ascending ``places`` or more, each once. The i-th run of
+#: ``least`` places lies in the windows from lo to hi; those before the run's predecessor ends are that one's.
+STARTS = """case when n < size then array(0) else flatten(transform(filter(transform(sequence(0, size(places) - least), i -> named_struct(
+    'lo', greatest(0, get(places, i + least - 1) - weight + 1, get(places, i - 1) + 1), 'hi', least(get(places, i), n - size))), x -> x.lo <= x.hi), x -> sequence(x.lo, x.hi))) end"""
+
+
 def candidate_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, size, k, starts): item-sized windows of documents that may pass verification."""
+    """(doc_id, n, item_id, size, k, starts): all item-sized windows of documents of n words that may pass verification.
+
+    Of two windows of equal weight w, sharing s shingles, the similarity is s / (2 w - s), so a window needs
+    2 w t / (1 + t) matching places for threshold t; a document shorter than the item needs w t.
+    """
     sizes = sorted(r.k for r in known.select("k").distinct().collect())  # at most five values
     text = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), split_words(F.col("text")).alias("words"))
     found = F.expr("concat(" + ", ".join(f"transform({shingles('words', k)}, (h, i) -> named_struct('pos', i, 'gram', h))" for k in sizes or [SHINGLE]) + ")")
     rows = text.select("doc_id", F.size("words").alias("n"), F.explode(found).alias("x")).select("doc_id", "n", "x.pos", "x.gram")
     gram = base.cut(known.select("item_id", "size", "k", F.size("grams").alias("weight"), F.posexplode("grams").alias("at", "gram")))
     hits = rows.join(bounded(gram), "gram")
-    start = F.greatest(F.lit(0), F.least(F.col("n") - F.col("size"), F.col("pos") - F.col("at")))
-    pairs = hits.groupBy("doc_id", "item_id", "size", "k", "weight").agg(F.collect_set(start).alias("starts"), F.collect_set("pos").alias("places"))
-    near = pairs.where(F.size("places") >= F.ceil(F.col("weight") * THRESHOLD))
-    return near.groupBy("doc_id", "size", "k").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    pairs = hits.groupBy("doc_id", "n", "item_id", "size", "k", "weight").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    least = F.when(F.col("n") < F.col("size"), F.ceil(F.col("weight") * THRESHOLD)).otherwise(F.ceil(F.col("weight") * 2 * THRESHOLD / (1 + THRESHOLD))).cast("int")
+    near = pairs.withColumn("least", least).where(F.size("places") >= F.col("least"))
+    return near.select("doc_id", "n", "item_id", "size", "k", F.expr(STARTS).alias("starts")).where(F.size("starts") > 0)
 
 
 def blocks(fingerprint: str) -> Column:
-    """The multi-index keys of a fingerprint: RADIUS + 1 blocks of bits."""
+    """The multi-index keys of a fingerprint: RADIUS + 1 blocks of bits. For look-ups within RADIUS; contaminated() needs none."""
     n = RADIUS + 1
     width = BITS // n
     return F.expr(f"transform(sequence(0, {n - 1}), _k -> named_struct('block', _k, 'value', shiftrightunsigned({fingerprint}, _k * {width}) & {(1 << width) - 1}L))")
@@ -102,28 +112,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = (
         text.join(bounded(wanted), "doc_id")
         .withColumn("words", split_words(F.col("text")))
-        .select("doc_id", "size", "k", "words", F.explode("starts").alias("start"))
-        .select("doc_id", "size", "k", "start", F.expr("slice(words, start + 1, size)").alias("own"))
+        .where(F.size("words") == F.col("n"))
+        .select("doc_id", "item_id", "size", "k", "words", F.explode("starts").alias("start"))
+        .select("doc_id", "item_id", "size", "k", "start", F.expr("slice(words, start + 1, size)").alias("own"))
     )
     grams = "case k " + " ".join(f"when {k} then {shingles('own', k)}" for k in range(1, SHINGLE + 1)) + " end"
-    windows = base.cut(windows.select("doc_id", "size", "k", "start", F.expr(grams).alias("grams"), F.expr(simhash("own")).alias("fingerprint")).distinct())
-    left = windows.select("doc_id", "size", "start", F.col("fingerprint").alias("f"), F.explode(blocks("fingerprint")).alias("key")).select("doc_id", "size", "start", "f", "key.*")
-    right = known.select("item_id", "size", F.col("fingerprint").alias("g"), F.explode(blocks("fingerprint")).alias("key")).select("item_id", "size", "g", "key.*")
-    close = (
-        left.join(right, ["size", "block", "value"])
-        .withColumn("distance", F.expr("cast(bit_count(f ^ g) as int)"))
-        .where(F.col("distance") <= RADIUS)
-        .select("doc_id", "size", "start", "item_id", "distance")
-        .distinct()
-    )
     checked = (
-        close.join(windows.select("doc_id", "size", "start", "grams"), ["doc_id", "size", "start"])
-        .join(known.select("item_id", F.col("grams").alias("wanted")), "item_id")
+        windows.select("doc_id", "item_id", "size", "start", "own", F.expr(grams).alias("grams"))
+        .join(bounded(known.select("item_id", "size", F.col("grams").alias("wanted"), F.col("fingerprint").alias("g"))), ["item_id", "size"])
         .withColumn("similarity", F.expr(similarity("grams", "wanted")).cast("double"))
         .where(F.col("similarity") >= THRESHOLD)
     )
-    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("near"), "size", "distance")).alias("x"))
-    return best.select("doc_id", "item_id", "x.similarity", (-F.col("x.near")).alias("start"), "x.size", "x.distance")
+    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("near"), "size", "own", "g")).alias("x")).select("doc_id", "item_id", "x.*")
+    distance = F.expr(f"cast(bit_count({simhash('own')} ^ g) as int)")
+    return best.select("doc_id", "item_id", "similarity", (-F.col("near")).alias("start"), "size", distance.alias("distance"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
