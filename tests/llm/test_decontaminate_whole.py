@@ -33,6 +33,19 @@ def test_reordered_passages(spark):
     assert len(got) == 8
 
 
+def test_edited_ends(spark):
+    rng = random.Random(6)
+    items, docs = [], []
+    for k in range(120):
+        n = rng.choice([32, 46, 74])
+        item = [f"e{rng.randrange(10**6)}" for _ in range(n)]
+        edited = item[: n - (n - 4) // 7] + [f"f{rng.randrange(10**6)}" for _ in range((n - 4) // 7)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([f"g{rng.randrange(10**6)}" for _ in range(20)] + edited + [f"g{rng.randrange(10**6)}" for _ in range(20)])))
+    got = agrees(spark, docs, items)
+    assert len(got) == 120 and max(r.distance for r in got.values()) > m.RADIUS
+
+
 def test_repeats_and_repeated_ids(spark):
     item = "a b c d e " * 6
     docs = [(1, "x " * 30 + item * 3 + "y " * 10), (2, "a b c d e a b"), (3, item[:-6]), (4, "q w e r t " * 20), (4, "z " + item)]
