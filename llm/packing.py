@@ -31,7 +31,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that one task packs.
 GROUP = 50_000
-#: Underfull sequences among which the local search of one group looks; fuller ones wait for the next round.
+#: Underfull sequences among which the local search looks at a time; it goes over all of a group in such windows.
 SEARCH = 256
 ROUNDS = 6
 SPECIAL = "<|endoftext|>"
@@ -172,10 +172,10 @@ def _improve(a: list[int], b: list[int], room: int, lengths: list[int]) -> bool:
     return True
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, search: int = SEARCH) -> list[list[int]]:
-    """Exchanges between underfull bins while any raises the sum of squared fills; empty bins go."""
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    active = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])[:search]
+def _search(active: list[int], bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int) -> None:
+    """Exchanges between the active bins while any raises the sum of squared fills."""
+    version = dict.fromkeys(active, 0)
+    failed: dict[tuple[int, int], tuple[int, int]] = {}  # pairs that are as they were at their last vain attempt
     moved = True
     while moved and len(active) > 1:
         moved = False
@@ -183,12 +183,31 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPA
         for i in range(len(active)):
             a = active[i]
             for b in reversed(active[i + 1 :]):
-                while bins[a] and fill[a] <= fill[b] < capacity and _improve(bins[a], bins[b], capacity - fill[b], lengths):
+                if not bins[a]:
+                    break
+                while bins[a] and fill[a] <= fill[b] < capacity and failed.get((a, b)) != (version[a], version[b]):
+                    if not _improve(bins[a], bins[b], capacity - fill[b], lengths):
+                        failed[a, b] = (version[a], version[b])
+                        break
                     moved = True
+                    version[a] += 1
+                    version[b] += 1
                     total = fill[a] + fill[b]
                     fill[b] = sum(lengths[k] for k in bins[b])
                     fill[a] = total - fill[b]
         active = [k for k in active if 0 < fill[k] < capacity]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, search: int = SEARCH) -> list[list[int]]:
+    """Exchanges between underfull bins, ``search`` at a time from the emptiest on, until a pass over all
+    of them empties none; empty bins go."""
+    fill = [sum(lengths[k] for k in b) for b in bins]
+    emptied = True
+    while emptied:
+        waiting = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])
+        for at in range(0, len(waiting), search):
+            _search(waiting[at : at + search], bins, fill, lengths, capacity)
+        emptied = any(not fill[k] for k in waiting) and len(waiting) > search
     return [b for b in bins if b]
 
 
