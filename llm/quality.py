@@ -143,9 +143,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay:
 
 
 def sampled_features(docs: DataFrame, ids: DataFrame, rows: int) -> dict[str, np.ndarray]:
-    """Features of the documents of at most ``rows`` sampled ids (doc_id, kind), gathered by kind."""
-    chosen = base.cut(ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows))
+    """Features of the documents of at most ``rows`` sampled ids (doc_id, kind), gathered by kind; of rows that repeat an id the least text."""
+    chosen = base.cut(ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows))
     plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    plain = plain.groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, chunk in chunks(batch.column("text")):
@@ -153,7 +154,7 @@ def sampled_features(docs: DataFrame, ids: DataFrame, rows: int) -> dict[str, np
             part = batch.slice(first, chunk.texts)
             yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "doc_id", "x"])
 
-    got = base.arrow_map(plain.select("doc_id", "text", "kind"), run, "kind string, doc_id long, x binary").limit(2 * rows).toArrow()
+    got = base.arrow_map(plain.select("doc_id", "text", "kind"), run, "kind string, doc_id long, x binary").toArrow()
     kinds, order = got.column("kind").to_pylist(), np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     out: dict[str, list] = {}
     values = got.column("x").to_pylist()
