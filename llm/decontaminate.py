@@ -1,26 +1,36 @@
-"""Operator 2, benchmark decontamination by item-sized windows, exact, with SimHash distances.
-
-For each benchmark item, windows of a document that are as long as the item are verified exactly, by the
-weighted Jaccard similarity of five-word shingles (sum of the smaller counts over the sum of the larger),
-THRESHOLD or more. The best window of a (document, item) pair gets a fingerprint, a 64-bit SimHash of its
-words weighted by their counts, and its distance in bits from the item's.
-
-Only windows that can pass verification are looked at: shingles are joined with the benchmark's, and of a
-(document, item) pair all windows go on that hold as many matching places as the threshold needs, wherever
-the item has those shingles. The distance drops no window: it can exceed RADIUS at similarity THRESHOLD.
-The rest of the corpus ends at the join. Everything is DataFrame expressions. The benchmark side is
-broadcast only if its counted shingles stay within BROADCAST_ROWS, otherwise the join shuffles; the same
-holds for the candidate windows.
+"""Operator 2, benchmark decontamination by SimHash windows, a multi-index and exact verification.
+
+For each benchmark item, windows of a document that are as long as the item are compared with it by the
+weighted Jaccard similarity of their five-word shingles (sum of the smaller counts over the sum of the
+larger); THRESHOLD or more is a contamination. The multiset of shingles is made a set of features (shingle,
+occurrence number), so that the similarity of sets is that of multisets whatever repeats.
+
+1. Gate, without loss: an item's rarest shingles, as many as a passing window may lack and one more, are
+   its keys. A document that holds a key makes a (document, item) pair; of a pair go on the item-sized
+   windows with as many matching places as THRESHOLD needs. The rest of the corpus ends here.
+2. Fingerprints: each window gets PRINTS independent 64-bit SimHashes of its features.
+3. Multi-index: a fingerprint is four blocks of 16 bits. Of two fingerprints within RADIUS bits some block
+   differs in three bits at most, so the items are indexed under all values that near, the windows look up
+   their own. At similarity THRESHOLD a bit differs with probability 0.172, one fingerprint lies beyond
+   RADIUS in 7 % of cases, all PRINTS of them in 1 of 30,000.
+4. What is found is verified exactly. Pairs of the gate of which nothing was verified go the exact way: all
+   their gated windows are verified. So no passage is lost to the fingerprints.
+
+Everything is DataFrame expressions. Equal texts are looked at once, for their smallest doc_id. A side is
+broadcast only if it stays within BROADCAST_ROWS, otherwise the join shuffles.
 
 Defined cases: null or blank texts and items match nothing; an item of fewer than five words is one
 shingle, matched whole; a document shorter than an item is one window, itself; repeated items are
-reported for each item_id, rows with one doc_id count as one document; empty tables give empty results;
-only doc_id, item_id and text are read, of clashing names the first counts.
+reported for each item_id, rows with one doc_id count as one document, null ids as none; of windows of one
+similarity the first counts; empty tables give empty results; only doc_id, item_id and text are read, of
+clashing names the first counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -29,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.75
 RADIUS = 15
 BITS = 64
+PRINTS = 4
+BLOCK_BITS = 16
 BROADCAST_ROWS = 200_000
 
 
@@ -43,20 +55,50 @@ def shingles(words: str, size: int) -> str:
     return f"transform(if(size({words}) >= {size}, sequence(0, size({words}) - {size}), array()), i -> xxhash64({size}, {parts}))"
 
 
+def grams(words: str, k: str = "k") -> str:
+    """SQL of the shingles of ``k`` words, one to SHINGLE."""
+    return f"case {k} " + " ".join(f"when {n} then {shingles(words, n)}" for n in range(1, SHINGLE + 1)) + " end"
+
+
+def features(hashes: str) -> str:
+    """SQL of the set of (shingle, occurrence number) hashes; only multisets with repeats are sorted and numbered."""
+    numbered = "transform(s, (g, i) -> xxhash64(g, cast(i + 2 - array_position(s, g) as int)))"
+    one = f"if(size(array_distinct(h)) = size(h), transform(h, g -> xxhash64(g, 1)), transform(array(array_sort(h)), s -> {numbered})[0])"
+    return f"transform(array({hashes}), h -> {one})[0]"
+
+
+def fingerprint(hashes: str) -> str:
+    """SQL of the 64-bit SimHash of an array of hashes: bit b is set if most of them have it.
+
+    Bits j and j + 32 are counted in the halves of one long.
+    """
+    lanes = "transform(sequence(0, 31), j -> aggregate(x, 0L, (a, h) -> a + (shiftrightunsigned(h, j) & 4294967297L)))"
+    low, high = "if((c & 4294967295L) * 2 > size(x), shiftleft(1L, j), 0L)", "if(shiftrightunsigned(c, 32) * 2 > size(x), shiftleft(1L, j + 32), 0L)"
+    return f"transform(array({hashes}), x -> aggregate(transform({lanes}, (c, j) -> {low} | {high}), 0L, (a, b) -> a | b))[0]"
+
+
 def simhash(words: str) -> str:
     """SQL of the 64-bit SimHash of an array of words."""
-    votes = "aggregate(hashes, 0, (a, h) -> a + if((shiftright(h, b) & 1) = 1, 1, -1))"
-    return (
-        f"element_at(transform(array(transform({words}, w -> xxhash64(w))), hashes -> "
-        f"aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> if({votes} > 0, f | shiftleft(1L, b), f))), 1)"
-    )
+    return fingerprint(f"transform({words}, w -> xxhash64(w))")
+
+
+def prints(features_: str) -> str:
+    """SQL of the PRINTS independent fingerprints of a feature set."""
+    return "array(" + ", ".join(fingerprint(f"transform({features_}, y -> xxhash64(y, {p}))") for p in range(PRINTS)) + ")"
 
 
 def similarity(a: str, b: str) -> str:
-    """SQL of the weighted Jaccard similarity of two arrays of hashes."""
-    count = lambda x: f"size(filter({x}, y -> y = h))"
-    shared = f"aggregate(array_distinct({b}), 0, (t, h) -> t + least({count(a)}, {count(b)}))"
-    return f"transform(array({shared}), s -> s / (size({a}) + size({b}) - s))[0]"
+    """SQL of the Jaccard similarity of two feature sets."""
+    return f"transform(array(size(array_intersect({a}, {b}))), s -> s / (size({a}) + size({b}) - s))[0]"
+
+
+def blocks(print_: str, near: bool = False) -> str:
+    """SQL of the multi-index keys of a fingerprint: its blocks, with ``near`` all values within the bits that
+    two fingerprints RADIUS apart may differ by in their nearest block."""
+    n = BITS // BLOCK_BITS
+    masks = [sum(1 << b for b in bits) for m in range(RADIUS // n + 1) for bits in combinations(range(BLOCK_BITS), m)] if near else [0]
+    block = f"shiftrightunsigned({print_}, _b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L"
+    return f"flatten(transform(sequence(0, {n - 1}), _b -> transform(array({', '.join(f'{m}L' for m in masks)}), _m -> shiftleft(cast(_b as bigint), {BLOCK_BITS}) | (({block}) ^ _m))))"
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,12 +107,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, k, grams, fingerprint) of items with words; k: words of a shingle."""
+    """(item_id, size, k, grams, features, prints, word_print) of items with words; k: words of a shingle."""
     rows = base.take(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), split_words(F.col("text")).alias("words")).where("size(words) > 0")
-    grams = f"case when size(words) >= {SHINGLE} then {shingles('words', SHINGLE)} " + " ".join(f"when size(words) = {k} then {shingles('words', k)}" for k in range(1, SHINGLE)) + " end"
-    return base.cut(
-        rows.select("item_id", F.size("words").alias("size"), F.expr(f"least({SHINGLE}, size(words))").alias("k"), F.expr(grams).alias("grams"), F.expr(simhash("words")).alias("fingerprint"))
-    )
+    rows = rows.select("item_id", "words", F.size("words").alias("size"), F.expr(f"least({SHINGLE}, size(words))").alias("k"))
+    rows = rows.select("*", F.expr(grams("words")).alias("grams")).select("*", F.expr(features("grams")).alias("features"))
+    return base.cut(rows.select("item_id", "size", "k", "grams", "features", F.expr(prints("features")).alias("prints"), F.expr(simhash("words")).alias("word_print")))
 
 
 #: SQL of the starts of all windows with ``least`` of the ascending ``places`` or more, each once. The i-th run of
@@ -79,53 +120,88 @@ STARTS = """case when n < size then array(0) else flatten(transform(filter(trans
     'lo', greatest(0, get(places, i + least - 1) - weight + 1, get(places, i - 1) + 1), 'hi', least(get(places, i), n - size))), x -> x.lo <= x.hi), x -> sequence(x.lo, x.hi))) end"""
 
 
-def candidate_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, n, item_id, size, k, starts): all item-sized windows of documents of n words that may pass verification.
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, words): documents with an id, and 128 bits that stand for the text."""
+    plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    return plain.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), split_words(F.col("text")).alias("words"))
 
-    Of two windows of equal weight w, sharing s shingles, the similarity is s / (2 w - s), so a window needs
+
+def hits(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n, hits): the places (pos, gram) of documents of n words that hold shingles of the benchmark."""
+    sizes = sorted(r.k for r in known.select("k").distinct().collect())  # at most five values
+    found = "concat(" + ", ".join(f"transform({shingles('words', k)}, (h, i) -> named_struct('pos', i, 'gram', h))" for k in sizes or [SHINGLE]) + ")"
+    rows = texts(docs).select("doc_id", "h1", "h2", F.size("words").alias("n"), F.explode(F.expr(found)).alias("x")).select("doc_id", "h1", "h2", "n", "x.pos", "x.gram")
+    held = base.cut(known.select(F.explode("grams").alias("gram")).distinct())
+    return base.cut(rows.join(bounded(held), "gram").groupBy("doc_id", "h1", "h2", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits")))
+
+
+def gated(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(h1, h2, carrier, item_id, size, k, starts): of each text and item all item-sized windows that may pass.
+
+    Of two windows of equal weight w, sharing s features, the similarity is s / (2 w - s), so a window needs
     2 w t / (1 + t) matching places for threshold t; a document shorter than the item needs w t.
     """
-    sizes = sorted(r.k for r in known.select("k").distinct().collect())  # at most five values
-    text = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), split_words(F.col("text")).alias("words"))
-    found = F.expr("concat(" + ", ".join(f"transform({shingles('words', k)}, (h, i) -> named_struct('pos', i, 'gram', h))" for k in sizes or [SHINGLE]) + ")")
-    rows = text.select("doc_id", F.size("words").alias("n"), F.explode(found).alias("x")).select("doc_id", "n", "x.pos", "x.gram")
-    gram = base.cut(known.select("item_id", "size", "k", F.size("grams").alias("weight"), F.posexplode("grams").alias("at", "gram")))
-    hits = rows.join(bounded(gram), "gram")
-    pairs = hits.groupBy("doc_id", "n", "item_id", "size", "k", "weight").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    places = known.select("item_id", F.size("grams").alias("weight"), F.posexplode("grams").alias("at", "gram"))
+    common = places.groupBy("gram").agg(F.count("*").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "gram", "at"))
+    keys = places.join(common, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("weight") - F.ceil(F.col("weight") * THRESHOLD) + 1)
+    keys = base.cut(keys.select("gram", "item_id").distinct())
+    carried = base.cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("carrier"), F.first("n").alias("n"), F.first("hits").alias("hits")))
+    pairs = carried.select("h1", "h2", F.explode("hits.gram").alias("gram")).join(bounded(keys), "gram").select("h1", "h2", "item_id").distinct()
+    wanted = known.select("item_id", "size", "k", "grams", F.size("grams").alias("weight"))
+    places = F.expr("transform(filter(hits, x -> array_contains(grams, x.gram)), x -> x.pos)").alias("places")
+    met = pairs.join(carried, ["h1", "h2"]).join(bounded(wanted), "item_id").select("h1", "h2", "carrier", "n", "item_id", "size", "k", "weight", places)
     least = F.when(F.col("n") < F.col("size"), F.ceil(F.col("weight") * THRESHOLD)).otherwise(F.ceil(F.col("weight") * 2 * THRESHOLD / (1 + THRESHOLD))).cast("int")
-    near = pairs.withColumn("least", least).where(F.size("places") >= F.col("least"))
-    return near.select("doc_id", "n", "item_id", "size", "k", F.expr(STARTS).alias("starts")).where(F.size("starts") > 0)
+    near = met.withColumn("least", least).where(F.size("places") >= F.col("least"))
+    return near.select("h1", "h2", "carrier", "item_id", "size", "k", F.expr(STARTS).alias("starts")).where(F.size("starts") > 0)
+
 
+def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each row of wanted (h1, h2, carrier, size, k, start, ...) with the window's features and its words' SimHash."""
+    rows = texts(docs).withColumnRenamed("doc_id", "carrier").join(bounded(wanted), ["h1", "h2", "carrier"])
+    own = rows.withColumn("own", F.expr("slice(words, start + 1, size)")).drop("words")
+    return own.withColumn("grams", F.expr(grams("own"))).withColumn("features", F.expr(features("grams"))).drop("grams")
 
-def blocks(fingerprint: str) -> Column:
-    """The multi-index keys of a fingerprint: RADIUS + 1 blocks of bits. For look-ups within RADIUS; contaminated() needs none."""
-    n = RADIUS + 1
-    width = BITS // n
-    return F.expr(f"transform(sequence(0, {n - 1}), _k -> named_struct('block', _k, 'value', shiftrightunsigned({fingerprint}, _k * {width}) & {(1 << width) - 1}L))")
+
+def looked_up(prints_: DataFrame, known: DataFrame) -> DataFrame:
+    """(h1, h2, carrier, size, k, start, item_id): the items within RADIUS of a window in some fingerprint."""
+
+    def keyed(df: DataFrame, near: bool) -> DataFrame:
+        rows = df.select("*", F.posexplode("prints").alias("p", "print")).drop("prints")
+        key = F.expr(f"transform({blocks('print', near)}, v -> shiftleft(cast(size as bigint), 24) | shiftleft(cast(p as bigint), 18) | v)")
+        return rows.select("*", F.explode(key).alias("key"))
+
+    index = keyed(known.select("item_id", "size", "prints"), True).select("key", "item_id", F.col("print").alias("goal"))
+    asked = base.cut(keyed(prints_, False).drop("p"))
+    near = index.join(bounded(asked), "key").where(F.bit_count(F.col("print").bitwiseXOR(F.col("goal"))) <= RADIUS)
+    return near.select("h1", "h2", "carrier", "size", "k", "start", "item_id").distinct()
+
+
+def verified(docs: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(h1, h2, item_id, x): of each text and item the best window that passes: similarity, near (minus its start), size, distance."""
+    goal = known.select("item_id", F.col("features").alias("goal"), "word_print")
+    rows = windows(docs, candidates).join(bounded(goal), "item_id").withColumn("similarity", F.expr(similarity("features", "goal")).cast("double"))
+    passed = rows.where(F.col("similarity") >= THRESHOLD).select("h1", "h2", "item_id", "similarity", (-F.col("start")).alias("near"), "size", "own", "word_print")
+    best = passed.groupBy("h1", "h2", "item_id").agg(F.max(F.struct("similarity", "near", "size", "own", "word_print")).alias("x"))
+    distance = F.expr(f"cast(bit_count({simhash('x.own')} ^ x.word_print) as int)")
+    return best.select("h1", "h2", "item_id", F.struct("x.similarity", "x.near", "x.size", distance.alias("distance")).alias("x"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, start, size, distance): the best window of each document for each item."""
+    """(doc_id, item_id, similarity, start, size, distance): the best window of each document for each item.
+
+    distance: bits between the SimHashes of the words of window and item.
+    """
     known = items(benchmark)
-    wanted = base.cut(candidate_windows(docs, known))
-    text = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    windows = (
-        text.join(bounded(wanted), "doc_id")
-        .withColumn("words", split_words(F.col("text")))
-        .where(F.size("words") == F.col("n"))
-        .select("doc_id", "item_id", "size", "k", "words", F.explode("starts").alias("start"))
-        .select("doc_id", "item_id", "size", "k", "start", F.expr("slice(words, start + 1, size)").alias("own"))
-    )
-    grams = "case k " + " ".join(f"when {k} then {shingles('own', k)}" for k in range(1, SHINGLE + 1)) + " end"
-    checked = (
-        windows.select("doc_id", "item_id", "size", "start", "own", F.expr(grams).alias("grams"))
-        .join(bounded(known.select("item_id", "size", F.col("grams").alias("wanted"), F.col("fingerprint").alias("g"))), ["item_id", "size"])
-        .withColumn("similarity", F.expr(similarity("grams", "wanted")).cast("double"))
-        .where(F.col("similarity") >= THRESHOLD)
-    )
-    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("near"), "size", "own", "g")).alias("x")).select("doc_id", "item_id", "x.*")
-    distance = F.expr(f"cast(bit_count({simhash('own')} ^ g) as int)")
-    return best.select("doc_id", "item_id", "similarity", (-F.col("near")).alias("start"), "size", distance.alias("distance"))
+    found = hits(docs, known)
+    gate = base.cut(gated(found, known).select("h1", "h2", "carrier", "item_id", "size", "k", F.explode("starts").alias("start")))
+    distinct = base.cut(gate.select("h1", "h2", "carrier", "size", "k", "start").distinct())
+    stamped = windows(docs, distinct).select("h1", "h2", "carrier", "size", "k", "start", F.expr(prints("features")).alias("prints"))
+    first = base.cut(verified(docs, base.cut(looked_up(stamped, known)), known))
+    rest = base.cut(gate.join(bounded(first.select("h1", "h2", "item_id")), ["h1", "h2", "item_id"], "left_anti"))
+    best = base.cut(first.union(verified(docs, rest, known)))
+    out = found.select("doc_id", "h1", "h2").join(bounded(best), ["h1", "h2"]).groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return out.select("doc_id", "item_id", "x.similarity", (-F.col("x.near")).alias("start"), "x.size", "x.distance")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

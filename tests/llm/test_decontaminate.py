@@ -85,5 +85,5 @@ def test_blocks_find_all_within_radius(spark):
         for bit in rng.sample(range(64), rng.randrange(0, 16)):
             b ^= 1 << bit
         pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    frame = spark.createDataFrame(pairs, "a long, b long").select(m.blocks("a").alias("x"), m.blocks("b").alias("y"))
+    frame = spark.createDataFrame(pairs, "a long, b long").selectExpr(f"{m.blocks('a', near=True)} as x", f"{m.blocks('b')} as y")
     assert frame.where("size(array_intersect(x, y)) = 0").count() == 0
