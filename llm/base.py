@@ -31,10 +31,15 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, set as the context's; only where the
-    setting is absent (tests in local mode) a temporary folder serves."""
+    setting is absent and the master local (tests) a temporary folder serves."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,7 +53,31 @@ def stored(df: DataFrame) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: smaller than a checkpoint where texts are in it."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing reads any more."""
+    for frame in frames:
+        remove(frame.sparkSession, frame.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Hadoop's file system, so on whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that are no longer referenced; they count as disk until then."""
+    spark._jvm.System.gc()
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, cut, with a unique number for each row, so that equal rows can be told apart and dealt evenly."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def take(df: DataFrame, *names: str) -> DataFrame:

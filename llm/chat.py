@@ -12,9 +12,10 @@ escaped, its colons as ``\\c``. The loss mask is a list of spans, one for each a
 
 Defined cases: a null text or role is empty; a null tree id is a tree of its own; a parent that is null,
 unknown or the node itself makes a root; nodes that only hang on a cycle reach no root and are left out;
-of equal node ids in one tree each is kept (the flat form numbers turns itself, so repeated or tied turns
-all stay, ordered by turn, role and text); empty tables give empty results; clashing extra columns are
-ignored.
+of equal node ids in one tree each is kept as a node of its own, and replies to that id follow the one of
+highest score (then least role and text) alone; the flat form numbers turns itself, so repeated or tied turns
+all stay, ordered by turn, role and text; very long texts are one string, which only the formatting touches;
+empty tables give empty results; clashing extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,17 +127,29 @@ def chain(conversations: DataFrame) -> DataFrame:
     )
 
 
-def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """The best branches of reply trees (tree, node, parent, role, text, score), formatted."""
+def told_apart(nodes: DataFrame) -> DataFrame:
+    """nodes under ids (node, twin) that are unique in a tree; parents are the first twins."""
+    first = Window.partitionBy("tree", "node").orderBy(F.desc("score"), "role", "text")
+    parent = F.when(~F.col("parent").eqNullSafe(F.col("node")) & F.col("parent").isNotNull(), F.struct(F.col("parent").alias("node"), F.lit(0).alias("twin")))
+    rows = nodes.withColumn("twin", F.row_number().over(first) - 1).withColumn("parent", parent)
+    return rows.withColumn("node", F.struct("node", "twin")).drop("twin")
+
+
+def format_trees(nodes: DataFrame, keep: int = 1, unique: bool = False) -> DataFrame:
+    """The best branches of reply trees (tree, node, parent, role, text, score), formatted; unique: no tree repeats a node id."""
+    nodes = base.take(nodes, "tree", "node", "parent", "role", "text", "score")
+    if not unique:
+        nodes = base.stored(told_apart(nodes))
     paths = best_paths(nodes, keep)
-    return formatted(paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]))
+    out = formatted(paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]))
+    return out if unique else out.withColumn("leaf", F.col("leaf.node"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = base.take(base.documents(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     sly = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", sly), (-7, 1, "assistant", sly)], "conv_id long, turn long, role string, text string")
-    back = read_back(format_trees(base.stored(chain(table.union(extra)))))
+    back = read_back(format_trees(base.stored(chain(table.union(extra))), unique=True))
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return back.select(
         F.expr("try_cast(nullif(tree, '~') as bigint)").alias("conv_id"),

@@ -1,12 +1,14 @@
 """Operator 7, best-fit packing with swap-based local search.
 
 Texts become token ids and an end id; longer ones are cut into full pieces, the rest comes first. Pieces
-that fill a sequence stand alone. The others are dealt by hash into groups of about GROUP pieces; a group
+that fill a sequence stand alone. The others, each under a number of its own, are dealt by the hash of that
+number into groups of about GROUP pieces, so equal rows spread like any; a group
 is packed best fit first, longest piece first, and then improved by local search over its underfull
 sequences: move a piece, exchange one for one, or two for one, always towards the fuller sequence, so that
 the sum of squared fills grows until sequences empty. Sequences that are still not full are taken apart
-and packed again in fewer groups, round by round, until one group holds what is left. Every round works
-on bounded groups, so neither a task nor the driver holds more than a few groups' lengths.
+and packed again in fewer groups, round by round, until one group holds what is left or a round leaves over
+nine tenths of its pieces in underfull sequences. Every round works on bounded groups, so neither a task nor
+the driver holds more than a few groups' lengths.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed as often as they come; a
 null doc_id is carried through; empty tables give empty results; columns other than doc_id and text are
@@ -33,7 +35,8 @@ END_ID = 2
 GROUP = 50_000
 #: Underfull sequences among which the local search looks at a time; it goes over all of a group in such windows.
 SEARCH = 256
-ROUNDS = 6
+#: A round after which more than this share of its pieces is left over is the last.
+LEFT = 0.9
 SPECIAL = "<|endoftext|>"
 
 _LOADED: dict = {}
@@ -216,7 +219,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
 
 
 def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found with ``sequence_id`` and ``offset``; found must be cheap to read again (cut)."""
+    """found (cut, with a unique ``_row``) with ``sequence_id`` and ``offset`` instead of ``_row``."""
     names = found.columns
     schema = found.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, fill long"
 
@@ -234,31 +237,30 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out = out.append_column(name, pa.array(values, pa.int64()))
         return out
 
-    full = found.where(F.col("length") >= capacity).select("*", F.lit(0).cast("long").alias("_level"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = found.where(F.col("length") >= capacity).select("*", F.lit(0).cast("long").alias("_level"), F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest = [full], found.where(F.col("length") < capacity)
-    left = rest.count()
-    for level in range(1, ROUNDS + 1):
-        if not left:
-            break
-        groups = -(-left // GROUP)
-        key = F.pmod(F.xxhash64(F.lit(level), *names), F.lit(groups)).alias("_group")
+    left, level = rest.count(), 0
+    while left:
+        level, groups = level + 1, -(-left // GROUP)
+        key = F.pmod(F.xxhash64(F.lit(level), "_row"), F.lit(groups)).alias("_group")
         packed = base.cut(rest.select("*", key).groupBy("_group").applyInArrow(task, schema))
-        last = groups == 1 or level == ROUNDS
+        over = packed.where(F.col("fill") < capacity).count() if groups > 1 else 0
+        last = groups == 1 or over > LEFT * left
         keep = packed if last else packed.where(F.col("fill") >= capacity)
         done.append(keep.select(*names, F.lit(level).cast("long").alias("_level"), "sequence_id", "offset"))
         if last:
             break
-        rest = packed.where(F.col("fill") < capacity).select(*names)
-        left = rest.count()
+        rest, left = packed.where(F.col("fill") < capacity).select(*names), over
     out = done[0]
     for frame in done[1:]:
         out = out.union(frame)
-    return out.withColumn("sequence_id", F.shiftleft("_level", 58) + F.col("sequence_id")).drop("_level")
+    # a level's own numbers stay below 2**55: groups of at most 2**24 sequences, or partition and row of a piece
+    return out.withColumn("sequence_id", F.shiftleft("_level", 55) + F.col("sequence_id")).drop("_level", "_row")
 
 
 def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """All pieces of docs with their places."""
-    return place(base.cut(pieces(docs, with_ids)))
+    return place(base.numbered(pieces(docs, with_ids), "_row"))
 
 
 def sequences(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,20 @@
 """Operator 9, sharding by a hypergeometric communication matrix.
 
-A uniform shuffle with exact shard sizes. Rows are dealt to source partitions by hash; the matrix of
+A uniform shuffle with exact shard sizes. Every row gets a number of its own, by whose hash it is dealt to a
+source partition, so that equal rows spread like any; the matrix of
 counts from each partition to each shard is drawn exactly (row by row, a chain of hypergeometric
 variables: the law of those counts under a uniform permutation). Every partition permutes its rows and
 hands the shards their counts in turn; every shard permutes what it got.
 
 Only the counts of partitions, at most MAX_PARTITIONS numbers, reach the driver; the matrix goes back as a
-broadcast of at most MAX_PARTITIONS * shards longs. Both permutations are sorts within pieces of about
-PIECE_ROWS rows, so no task holds a whole shard.
-
-Defined cases: null keys hash like any value; rows that are equal in every key column are
-interchangeable, each still gets its own slot; with fewer rows than shards some shards stay empty; an
-empty table gives an empty result; extra columns ride along, clashing names are the caller's to resolve
-by choosing the key columns.
+broadcast of at most MAX_PARTITIONS * shards longs. Both permutations are sorts, which spill, within pieces
+of about PIECE_ROWS rows, so no task holds a whole shard; from MAX_PARTITIONS * PIECE_ROWS rows on (819
+million) the source partitions grow instead of their number, to some 6 million narrow rows at 50 billion.
+
+Defined cases: null keys hash like any value; equal rows each get a slot of their own; with fewer rows than
+shards some shards stay empty; an empty table gives an empty result; very long texts are read where they lie,
+only their size and checksum move; extra columns ride along, and a caller's ``shard`` or ``slot`` is returned
+as ``shard_in`` or ``slot_in``. A run is repeatable on the same files and session settings.
 """
 
 from __future__ import annotations
@@ -82,36 +84,52 @@ def shard_sizes(rows: int, shards: int, seed: int = SEED) -> list[int]:
     return [rows // shards + (j in extra) for j in range(shards)]
 
 
+def unclashed(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """df with columns of those names (whatever their case) renamed: ``_in`` follows them until they are free."""
+    taken = [c.lower() for c in df.columns]
+    out = []
+    for c in df.columns:
+        while c.lower() in names or (c not in df.columns and c.lower() in taken):
+            c += "_in"
+        out.append(c)
+    return df.toDF(*out)
+
+
 def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """df with ``shard`` and ``slot`` (gapless from 0 in each shard); keys identify a row."""
+    """df with ``shard`` and ``slot`` (gapless from 0 in each shard); keys are hashed with the row's number."""
     spark = df.sparkSession
-    rows = df.select(*keys).count()
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    row, part, rank, upto, piece, n, before = (mark + x for x in ("row", "part", "rank", "upto", "piece", "n", "before"))
+    plain = base.numbered(unclashed(df, ("shard", "slot")), row)
+    rows = plain.count()
     parts = min(MAX_PARTITIONS, max(MIN_PARTITIONS, -(-rows // PIECE_ROWS)))
-    hashed = lambda k: F.xxhash64(F.lit(seed * 10 + k), *keys)
-    dealt = df.withColumn("_part", F.pmod(hashed(0), F.lit(parts)).cast("int"))
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    hashed = lambda k: F.xxhash64(F.lit(seed * 10 + k), row, *keys)
+    dealt = plain.withColumn(part, F.pmod(hashed(0), F.lit(parts)).cast("int"))
+    counts = {r[part]: r["count"] for r in dealt.groupBy(part).count().collect()}
     order = sorted(counts)
     matrix = communication_matrix([counts[p] for p in order], shard_sizes(sum(counts.values()), shards, seed), seed)
     table = spark.createDataFrame(
-        [(p, [sum(row[: j + 1]) for j in range(shards)]) for p, row in zip(order, matrix, strict=True)] or [(0, [0] * shards)], "_part int, _upto array<long>"
+        [(p, [sum(r[: j + 1]) for j in range(shards)]) for p, r in zip(order, matrix, strict=True)] or [(0, [0] * shards)], f"{part} int, {upto} array<long>"
     )
-    local = Window.partitionBy("_part").orderBy(hashed(1), *keys)
+    local = Window.partitionBy(part).orderBy(hashed(1), row)
     sent = (
-        dealt.withColumn("_rank", F.row_number().over(local) - 1)
-        .join(F.broadcast(table), "_part")
-        .withColumn("shard", F.expr("size(filter(_upto, x -> x <= _rank))").cast("int"))
-        .drop("_part", "_upto", "_rank")
+        dealt.withColumn(rank, F.row_number().over(local) - 1)
+        .join(F.broadcast(table), part)
+        .withColumn("shard", F.expr(f"size(filter({upto}, x -> x <= {rank}))").cast("int"))
+        .drop(part, upto, rank)
     )
     pieces = max(1, -(-rows // (shards * PIECE_ROWS)))
-    sent = base.cut(sent.withColumn("_piece", F.pmod(hashed(2), F.lit(pieces)).cast("int")))
-    sizes = sent.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = sizes.select("shard", "_piece", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece")) - F.col("_n")).alias("_before"))
-    inner = Window.partitionBy("shard", "_piece").orderBy(hashed(3), *keys)
+    sent = base.cut(sent.withColumn(piece, F.pmod(hashed(2), F.lit(pieces)).cast("int")))
+    sizes = sent.groupBy("shard", piece).agg(F.count("*").alias(n))
+    ahead = sizes.select("shard", piece, (F.sum(n).over(Window.partitionBy("shard").orderBy(piece)) - F.col(n)).alias(before))
+    inner = Window.partitionBy("shard", piece).orderBy(hashed(3), row)
     return (
-        sent.withColumn("_rank", F.row_number().over(inner) - 1)
-        .join(before, ["shard", "_piece"])
-        .withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
-        .drop("_piece", "_rank", "_before")
+        sent.withColumn(rank, F.row_number().over(inner) - 1)
+        .join(ahead, ["shard", piece])
+        .withColumn("slot", (F.col(before) + F.col(rank)).cast("long"))
+        .drop(piece, rank, before, row)
     )
 
 

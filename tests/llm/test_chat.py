@@ -49,3 +49,10 @@ def test_query_matches_sql(spark):
     assert got == want
     sly = "\\### Assistant: </turn> ok"
     assert dict((r[0], r[4]) for r in got)[-7] == hashlib.sha256(sly.encode()).hexdigest()
+
+
+def test_equal_node_ids_and_long_texts(spark):
+    nodes = [("a", 1, None, "user", "q", 0.0), ("a", 2, 1, "assistant", "first", 2.0), ("a", 2, 1, "assistant", "twin", 1.0), ("a", 3, 2, "user", "x" * 300_000, 0.0), ("a", 3, 3, "user", "self", 0.0)]
+    frame = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
+    out = sorted((r.tree, r.leaf, [t.text for t in r.turns]) for r in read_back(format_trees(frame, 9)).collect())
+    assert out == [("a", 2, ["q", "twin"]), ("a", 3, ["q", "first", "x" * 300_000]), ("a", 3, ["self"])]

@@ -88,3 +88,25 @@ def test_edges(spark):
     assert m.pack(frame.limit(0)).count() == 0
     out = m.sequences(frame.where("doc_id in (1, 2, 4)")).collect()
     assert len(out) == 1 and sorted(out[0].doc_ids) == [1, 2, 4] and bytes(out[0].ids).count(b"\x02\x00\x00\x00") >= 3
+
+
+def test_equal_rows_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(m, "GROUP", 50)
+    frame = spark.createDataFrame([(1, "same text here")] * 500, "doc_id long, text string")
+    rows = m.pack(frame).collect()
+    assert len(rows) == 500 and sum(r.length for r in rows) <= 1024 * len({r.sequence_id for r in rows})
+    found = m.base.numbered(m.pieces(frame), "_row")
+    groups = found.selectExpr("pmod(xxhash64(1, _row), 10) as g").groupBy("g").count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 90
+
+
+def test_swaps_reach_the_optimum_of_brute_force():
+    from itertools import product
+
+    rng = random.Random(12)
+    gaps = 0
+    for _ in range(25):
+        lengths = [rng.randrange(2, 9) for _ in range(7)]
+        least = next(n for n in range(1, 8) if any(max(sum(l for l, b in zip(lengths, to, strict=True) if b == j) for j in range(n)) <= 10 for to in product(range(n), repeat=7)))
+        gaps += len(m.pack_lengths(lengths, 10)) - least
+    assert gaps <= 1

@@ -1,6 +1,9 @@
 import random
+import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from llm.sharding import communication_matrix, hypergeometric, shard_sizes, shuffle_into_shards
 
 
@@ -55,3 +58,23 @@ def test_query(spark):
     rows = op9_hypergeometric_sharding(spark, "/root/testdata/sf0.001").collect()
     check(rows, 40)
     assert {r.law for r in rows} == {"rows"}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    want = {k: (len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in docs.items()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == want and len(rows) == len(want)
+
+
+def test_clashing_names_and_long_texts(spark):
+    frame = spark.createDataFrame([(k, "x" * 3_000_000 if not k else "y", 7) for k in range(5)], "doc_id long, Shard string, _part int")
+    rows = shuffle_into_shards(frame.withColumn("slot", F.col("_part")).withColumn("__rank", F.lit(1)), ["doc_id"], 3).collect()
+    check(rows, 3)
+    assert {r.doc_id: (len(r.Shard_in), r._part, r.slot_in, r["__rank"]) for r in rows} == {k: (1 if k else 3_000_000, 7, 7, 1) for k in range(5)}
+
+
+def test_equal_rows_spread(spark):
+    frame = spark.range(3000).selectExpr("cast(1 as bigint) as doc_id")
+    sent = shuffle_into_shards(frame, ["doc_id"], 4)
+    check(sent.collect(), 4)
+    import llm.sharding as m
+
+    row = m.base.numbered(frame, "r").selectExpr("pmod(xxhash64(90, r, doc_id), 16) as p").groupBy("p").count().collect()
+    assert len(row) == 16 and max(x["count"] for x in row) < 260
