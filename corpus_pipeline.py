@@ -9,7 +9,7 @@ Every stage but the last returns the columns of ``documents``:
 5. best-fit packing: the rows are pieces of token sequences.
 
 Rows with a null doc_id pass stages 2 and 3, which decide by id; of rows that repeat a doc_id stage 2
-keeps one. Empty tables pass through all stages.
+keeps the one of least text (then of least other columns, as JSON). Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if repeated.isEmpty():
         return out
     again = base.cut(repeated)
-    return without(out, again).unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    order = F.struct("text", F.to_json(F.struct(*docs.columns)))
+    least = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    return without(out, again).unionByName(least)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is stored in the shared folder and read again."""
-    docs = base.documents(spark, sf_dir)
+    docs, before = base.documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = base.stored(stage(spark, docs, sf_dir))
+        base.release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
