@@ -19,40 +19,49 @@ def tokens(text):
 def discounted(counts, r):
     n = Counter(counts.values())
     k = 5
+    if r > k:
+        return r - m.ABOVE
     tail = (k + 1) * n[k + 1] / n[1] if n[1] else 1
     if n[1] and tail < 1 and all(n[j] for j in range(1, k + 1)):
         d = [((j + 1) * n[j + 1] / (j * n[j]) - tail) / (1 - tail) for j in range(1, k + 1)]
         if all(0 < x < 1 for x in d):
-            return r * (d[r - 1] if r <= k else 1)
+            return r * d[r - 1]
     loss = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return r - loss if r <= k else r
+    return r - loss
 
 
 class Brute:
+    """Katz's law of contexts of two, one and no words, each by its definition."""
+
     def __init__(self, texts):
         split = [tokens(t) for t in texts]
+        starts = ["<start>", "<start>"]
         self.one = Counter(w for s in split for w in s)
-        self.two = Counter(p for s in split for p in zip(["<start>", *s[:-1]], s, strict=True))
-        self.context = Counter(p[0] for p in self.two.elements())
+        self.grams = {n: Counter(tuple(t[k - n + 1 : k + 1]) for s in split for t in [starts + s] for k in range(2, len(t))) for n in (2, 3)}
+        self.contexts = {n: Counter(g[:-1] for g in c.elements()) for n, c in self.grams.items()}
         self.n = sum(self.one.values())
         kept = sum(discounted(self.one, c) for c in self.one.values()) / self.n
         self.unknown = max(1 - kept, 1 / (self.n + len(self.one) + 1))
         self.scale = (1 - self.unknown) / kept
+        self.seen = {}
 
-    def single(self, w):
-        return discounted(self.one, self.one[w]) / self.n * self.scale if self.one[w] else self.unknown
-
-    def law(self, v, w):
-        c = self.context[v]
+    def law(self, context, w):
+        if not context:
+            return discounted(self.one, self.one[w]) / self.n * self.scale if self.one[w] else self.unknown
+        n = len(context) + 1
+        c = self.contexts[n][context]
         if not c:
-            return self.single(w)
-        after = {y: discounted(self.two, r) for (x, y), r in self.two.items() if x == v}
-        seen = sum(after.values()) / c
-        left, least = 1 - seen, 0.5 / (c + 1)
-        scale = (1 - least) / seen if left < least else 1
-        if w in after:
-            return after[w] / c * scale
-        return max(left, least) / max(1 - sum(map(self.single, after)), self.unknown) * self.single(w)
+            return self.law(context[1:], w)
+        if context not in self.seen:
+            after = {g[-1]: discounted(self.grams[n], r) / c for g, r in self.grams[n].items() if g[:-1] == context}
+            weight = (1 - sum(after.values())) / (1 - sum(self.law(context[1:], x) for x in after))
+            self.seen[context] = after, weight
+        after, weight = self.seen[context]
+        return after[w] if w in after else weight * self.law(context[1:], w)
+
+    def score(self, text):
+        s = ["<start>", "<start>", *tokens(text)]
+        return sum(math.log10(self.law(tuple(s[k - 2 : k]), s[k])) for k in range(2, len(s)))
 
 
 def corpus(seed, n=70):
@@ -75,8 +84,7 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk, part):
     for d, t in rows:
         s = tokens(t)
         base = sum(math.log10((model.one[w] + 1) / (model.n + len(model.one) + 1)) for w in s)
-        score = sum(math.log10(model.law(v, w)) for v, w in zip(["<start>", *s[:-1]], s, strict=True))
-        want.append((d, held(d), len(s), sum(model.one[w] > 0 for w in s), model.n, base, score))
+        want.append((d, held(d), len(s), sum(model.one[w] > 0 for w in s), model.n, base, model.score(t)))
     assert len(got) == len(want)
     for a, b in zip(got, sorted(want, key=str), strict=True):
         assert a[:5] == b[:5]
@@ -85,9 +93,28 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk, part):
 
 def test_law_sums_to_one():
     model = Brute([t for _, t in corpus(3)])
-    assert abs(sum(map(model.single, model.one)) + model.unknown - 1) < 1e-9
-    for v in ["<start>", "w1", "w2", "w50", "never seen"]:
-        assert abs(sum(model.law(v, w) for w in model.one) + model.law(v, "new") - 1) < 1e-9
+    contexts = [(), ("<start>",), ("w1",), ("w50",), ("never seen",), ("<start>", "<start>"), ("w1", "w2"), ("w2", "never seen"), next(iter(model.contexts[3]))]
+    for context in contexts:
+        assert abs(sum(model.law(context, w) for w in model.one) + model.law(context, "new") - 1) < 1e-9
+
+
+def test_equal_files_are_repeated_rows(spark, tmp_path):
+    """Two equal files make two equal chunks, which score apart."""
+    rows = corpus(4, 20)
+    for k in range(2):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"documents.parquet/k={k}"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert frame.rdd.getNumPartitions() == 2
+    got = sorted(((r.doc_id, r.score) for r in m.katz_scores(frame, F.lit(False)).collect()))
+    model = Brute([t for _, t in rows] * 2)
+    for (d, score), (want_d, text) in zip(got, sorted(rows * 2, key=lambda r: r[0]), strict=True):
+        assert d == want_d and abs(score - model.score(text)) < 1e-8
+
+
+def test_tables_go(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    m.katz_scores(spark.createDataFrame(corpus(5, 5), "doc_id long, text string"), F.lit(False)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_packing_round_trip():
