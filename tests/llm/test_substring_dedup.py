@@ -60,11 +60,32 @@ def test_edges(spark):
     assert m.dedup(frame.limit(0)).count() == 0
 
 
-def test_sharded_automata(monkeypatch):
-    monkeypatch.setattr(m, "SHARD_WORDS", 60)
+def test_automaton_alone_locates():
+    """Nested, overlapping and adjacent phrases, found without any hint of their place."""
     words = [f"a{k}" for k in range(120)]
-    masks = m.locate([(5, words, np.arange(0, 20)), (8, ["z", *words[:70]], np.array([1, 2, 15])), (2, words, np.array([], np.int64))])
-    assert masks[0].sum() == 69 and masks[1].sum() == 69 and masks[2].sum() == 0
+    machine, ids = m.automaton([(words[0:69], 5), (words[10:60], 7), (words[60:110], 9), (words[60:110], 3)])
+    text = ["z", *words[:70], "y", *words[60:110], *words[10:60]]
+    assert m.occurrences(machine, ids, 8, text) == [1, 70, 72, 172]
+    assert m.occurrences(machine, ids, 6, text) == [1, 70, 72, 122]
+    assert m.occurrences(machine, ids, 3, text) == []
+
+
+def test_many_shards_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_WORDS", 60)
+    monkeypatch.setattr(m, "PIECE_WORDS", 400)
+    rows = corpus(3)
+    got = m.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_phrases_are_whole_wherever_they_occur(spark):
+    """A passage that occurs in parts and whole is cut into phrases so that each occurrence is whole."""
+    words = [f"p{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[:120]])), (3, " ".join([*words[60:], "y"])), (4, " ".join([*words[100:160], *words[100:160]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, m.dedup(frame).collect()), key=str) == brute(rows)
+    found = m.phrases(m.base.stored(m.anchored_windows(frame))).collect()
+    assert {r.doc_id for r in found} == {1} and 2 <= len(found) <= 8 and all(r.b - r.a >= 50 for r in found)
 
 
 def test_anchor_of_every_window():
