@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,7 +74,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that are no longer referenced; they count as disk until then."""
+    gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside the driver
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

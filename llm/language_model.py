@@ -428,18 +428,15 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     answers: list[DataFrame] = []
     stats: dict[int, list[int]] = {n: [0] * (K + 3) for n in range(1, ORDER + 1)}
 
-    def keep(frame: DataFrame) -> DataFrame:
-        answers.append(base.stored(frame))
-        base.sweep(spark)
-        return answers[-1]
-
     for order, asked in ((2, (1, 2)), (3, (3,))):
-        found = keep(totals(requests(chunks, parts, asked)))
-        counted = found.where("chunk is null").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n"))
+        answers.append(base.stored(totals(requests(chunks, parts, asked))))
+        base.sweep(spark)  # the exchange is over: its files go before the next one's come
+        counted = answers[-1].where("chunk is null").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n"))
         for row in counted.collect():
             stats[row.kind][row["at"]] = row.n
         law = Law(stats, starts)
-        keep(backoffs(context_sums(chunks, list(answers), law, parts, order), law))
+        answers.append(base.stored(backoffs(context_sums(chunks, list(answers), law, parts, order), law)))
+        base.sweep(spark)
     out = base.stored(scores(chunks, answers, law))
     spark.sql(f"DROP TABLE {table}")
     base.remove(spark, path)

@@ -39,6 +39,8 @@ PERCENT = 75
 SHINGLE = 5
 #: Tokens of one block of sets; two blocks meet in one task.
 BLOCK_TOKENS = 1_000_000
+#: Sets of one block: a task's work grows with the product of its blocks' sets.
+BLOCK_SETS = 2_000
 #: Cells of the query matrix that a task holds at once.
 MATRIX_CELLS = 1 << 25
 
@@ -120,15 +122,16 @@ def candidates(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
 def blocks(members: DataFrame) -> DataFrame:
     """Tasks (rep, task, side) of members (rep, n, component): side 0 meets side 1, side 2 meets itself.
 
-    A component within BLOCK_TOKENS is one task. A larger one is split by size class (powers of 4/3:
+    A component within BLOCK_TOKENS and BLOCK_SETS is one task. A larger one is split by size class (powers of 4/3:
     linking sets lie in one class or in neighbours) and hash into blocks; every block meets the blocks of
     its own class and of the next.
     """
     scale = int(np.log(PERCENT / 100) * -1e9) / 1e9
     sized = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / scale).cast("int"))
-    weights = sized.groupBy("component", "class").agg(F.sum("n").alias("tokens"))
-    total = weights.groupBy("component").agg(F.sum("tokens").alias("all"))
-    parts = weights.select("component", "class", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("parts"))
+    weights = sized.groupBy("component", "class").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
+    load = lambda f: F.greatest(f(F.col("tokens")) / BLOCK_TOKENS, f(F.col("sets")) / BLOCK_SETS)
+    total = weights.groupBy("component").agg(load(F.sum).alias("all"))
+    parts = weights.select("component", "class", F.ceil(load(lambda c: c)).cast("int").alias("parts"))
 
     def near(step: int) -> DataFrame:
         return parts.select("component", (F.col("class") - step).alias("class"), F.col("parts").alias({1: "above", -1: "below"}[step]))
@@ -138,7 +141,7 @@ def blocks(members: DataFrame) -> DataFrame:
     span = lambda n: f"if(coalesce({n}, 0) > 0, sequence(0, {n} - 1), array())"
     name = "concat_ws(':', component, {})"
     tasks = f"""
-        if(all <= {BLOCK_TOKENS}, array(named_struct('task', cast(component as string), 'side', 2)),
+        if(all <= 1, array(named_struct('task', cast(component as string), 'side', 2)),
         flatten(array(
             transform({span("parts")}, j -> named_struct('task', {name.format("class, least(part, j), class, greatest(part, j)")}, 'side', if(j = part, 2, if(j < part, 1, 0)))),
             transform({span("above")}, j -> named_struct('task', {name.format("class, part, class + 1, j")}, 'side', 0)),

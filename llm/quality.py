@@ -9,18 +9,23 @@ non-negative risk  pi R+(+) + max(0, R_u(-) - pi R+(-))  is minimised with the l
 class prior pi is estimated with a first classifier of positives against unlabelled text: the share of
 unseen unlabelled rows above the score that 95 % of unseen positives reach, divided by that 95 %.
 
-Both models are fitted on the driver from a bounded sample of rows (SAMPLE of each kind, those of the
-smallest hashed ids), the only thing bounded here; scoring reads whole texts in Arrow batches, and the
-weights, some 8 KB, travel with the task.
-
-Defined cases: null or empty text has zero counts and still a score; of labels that repeat for a
-doc_id the lower one counts, once; null or unknown labels are left out; without labels of both kinds (operator 3: without
-positives) the score is 1/2 everywhere; empty tables give empty results; label, lang, source and doc_id
-are never inputs of a score; of clashing names the first counts.
+Labelled rows are a bounded sample (SAMPLE of each kind, those of the smallest hashed ids), the only thing
+bounded here. Operator 6 is fitted on them alone, on the driver. Operator 3 starts there with a sample of
+unlabelled texts; its prior's shares and its risk are then sums over all unlabelled training texts, whose
+features are stored packed, and the risk is descended on those. Scoring reads whole texts in Arrow batches,
+and the weights, some 8 KB, travel with the task.
+
+Defined cases: null or empty text has zero counts and still a score; very long texts are one text each, read
+in runs; of labels that repeat for a doc_id the lower one counts, once; of texts that repeat a doc_id the least
+is the labelled one; null or unknown labels are left out; one row of a kind is enough, without labels of both
+kinds (operator 3: without positives) the score is 1/2 everywhere; with fewer than five rows of each kind the
+calibration has no rows and the margin counts as it is; empty tables give empty results; label, lang, source
+and doc_id are never inputs of a score; of clashing names the first counts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 from . import base
 from .features import _SYMBOL, DENSE, DIMENSIONS, chunks
 
-#: Labelled (and unlabelled) rows of each kind that a model is fitted on.
+#: Labelled rows of each kind that a model is fitted on; operator 3 starts from twice as many unlabelled ones.
 SAMPLE = 3000
+#: Operator 3's descents over all unlabelled texts, and what is added to the sample's curvature for them.
+STEPS, DAMPING = 5, 0.02
 #: Fixed thresholds on the calibrated probability of good quality.
 KEEP_AT = 0.5
 MIN_WORDS = 50
@@ -110,17 +117,34 @@ def calibrate(model: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
     return model
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from two folds of a positive-against-unlabelled classifier."""
-    shares = []
+def _half(x: np.ndarray, fold: int) -> np.ndarray:
+    return x[fold::2] if len(x) > 1 else x
+
+
+def discriminators(positive: np.ndarray, unlabelled: tuple[np.ndarray, np.ndarray]) -> list[tuple[Linear, float, float]]:
+    """For each fold (model, bar, share): a classifier of its positives against its unlabelled rows, the score
+    that 95 % of the other positives reach, and the share that does."""
+    out = []
     for fold in (0, 1):
-        fit_p, fit_u = positive[fold::2], unlabelled[fold::2]
+        fit_p, fit_u = _half(positive, fold), unlabelled[fold]
         model = fit_logistic(np.concatenate([fit_p, fit_u]), np.repeat([1.0, 0.0], [len(fit_p), len(fit_u)]))
-        seen_p, seen_u = model.score(positive[1 - fold :: 2]), model.score(unlabelled[1 - fold :: 2])
+        seen = model.score(_half(positive, 1 - fold))
         # the score at which most positives lie: below it, unlabelled text is in excess
-        bar = np.quantile(seen_p, 0.05)
-        shares.append((seen_u >= bar).mean() / max((seen_p >= bar).mean(), 1e-6))
-    return float(np.clip(np.mean(shares), 0.05, 0.98))
+        bar = float(np.quantile(seen, 0.05))
+        out.append((model, bar, max(float((seen >= bar).mean()), 1e-6)))
+    return out
+
+
+def prior_of(found: list[tuple[Linear, float, float]], reached: list[float]) -> float:
+    """The class prior from the shares of unseen unlabelled rows that reach each fold's bar."""
+    return float(np.clip(np.mean([r / share for r, (_, _, share) in zip(reached, found, strict=True)]), 0.05, 0.98))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from two folds of a positive-against-unlabelled classifier."""
+    folds = _half(unlabelled, 0), _half(unlabelled, 1)
+    found = discriminators(positive, folds)
+    return prior_of(found, [float((model.score(folds[1 - k]) >= bar).mean()) for k, (model, bar, _) in enumerate(found)])
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 2e-3) -> Linear:
@@ -183,22 +207,133 @@ def train_quality(docs: DataFrame, labels: DataFrame, training: Column | None =
     """Operator 6's model: both kinds of labels, every fifth row left aside for calibration."""
     known = base.cut(labelled(labels, training))
     x = _merged(*(sampled_features(docs, known.where(F.col("kind") == k), rows) for k in ("0", "1")))
-    if len(x) < 2 or min(map(len, x.values())) < 5:
+    if len(x) < 2:
         return neutral()
     fit, held = ({k: v[np.arange(len(v)) % 5 != 4] for k, v in x.items()}, {k: v[4::5] for k, v in x.items()})
     both = lambda s: (np.concatenate([s["0"], s["1"]]), np.repeat([0.0, 1.0], [len(s["0"]), len(s["1"])]))
     return calibrate(fit_logistic(*both(fit)), *both(held))
 
 
+def packed_features(docs: DataFrame, training: Column) -> DataFrame:
+    """(n, folds, dense, top, hashed): the features of all unlabelled training texts, some 500 a row; hashed ones in
+    255ths of a text's largest. About a third of the text's size."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("fold")
+    plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").where(training).select("text", fold)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        for first, chunk in chunks(batch.column(0)):
+            x = chunk.features()
+            top = np.maximum(x[:, DENSE:].max(1), 1e-9).astype("<f4")
+            hashed = np.rint(x[:, DENSE:] * (255 / top)[:, None]).astype(np.uint8)
+            row = (folds[first : first + chunk.texts].tobytes(), x[:, :DENSE].astype("<f4").tobytes(), top.tobytes(), zlib.compress(hashed.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.texts], pa.int32()), *[pa.array([v], pa.binary()) for v in row]], ["n", "folds", "dense", "top", "hashed"])
+
+    return base.arrow_map(plain, run, "n int, folds binary, dense binary, top binary, hashed binary")
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(features, folds) of a row of packed features."""
+    top = np.frombuffer(row["top"], "<f4")
+    x = np.empty((row["n"], DENSE + DIMENSIONS), np.float32)
+    x[:, :DENSE] = np.frombuffer(row["dense"], "<f4").reshape(row["n"], DENSE)
+    np.multiply(np.frombuffer(zlib.decompress(row["hashed"]), np.uint8).reshape(row["n"], DIMENSIONS), (top / 255)[:, None], out=x[:, DENSE:])
+    return x, np.frombuffer(row["folds"], np.uint8)
+
+
+def summed(packed: DataFrame, function, size: int) -> np.ndarray:
+    """The sum of function(features, folds), arrays of that size, over all packed rows; tasks add theirs, the driver gets the total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                total += function(*unpacked(batch.slice(k, 1).to_pylist()[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
+
+    got = packed.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
+def raw(model: Linear) -> tuple[np.ndarray, float]:
+    """Weights and bias that give the model's margin on features as they are."""
+    weights = model.weights / model.scale
+    return weights.astype(np.float32), float(model.bias - model.center @ weights)
+
+
+def unlabelled_sums(x: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Rows, their loss as negatives, and that loss's gradient by bias and by weights, of raw features."""
+    z = x @ weights + bias
+    s = sigmoid(z).astype(np.float32)
+    return np.concatenate([[len(x), np.logaddexp(0, z).sum(dtype=np.float64), s.sum(dtype=np.float64)], x.T @ s])
+
+
+def pu_risk(model: Linear, sums: np.ndarray, positive: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk with decay, and the gradient by (weights, bias) that descends it; where the negative
+    part is below zero its gradient is turned back."""
+    n, loss, total = sums[:3]
+    z = (positive.astype(np.float32) - model.center) / model.scale
+    margin = z @ model.weights + model.bias
+    negative = loss / n - prior * np.logaddexp(0, margin).mean()
+    of_u = np.append((sums[3:] - model.center * total) / model.scale, total) / n
+    value = prior * np.logaddexp(0, -margin).mean() + max(0.0, negative) + decay / 2 * float(model.weights @ model.weights)
+    if negative >= 0:
+        gradient = of_u - prior * np.append(z.mean(0), 1)
+    else:
+        s = sigmoid(margin)
+        gradient = prior * np.append(z.T @ s, s.sum()) / len(z) - of_u
+    return float(value), gradient + decay * np.append(model.weights, 0)
+
+
+def refined(packed: DataFrame, positive: np.ndarray, sample: np.ndarray, model: Linear, prior: float, decay: float = 2e-3) -> Linear:
+    """The model after STEPS descents of the risk over all unlabelled texts, preconditioned by the sample's curvature; the best of them."""
+    z = np.concatenate([(sample.astype(np.float32) - model.center) / model.scale, np.ones((len(sample), 1), np.float32)], 1)
+    s = sigmoid(z[:, :-1] @ model.weights + model.bias)
+    curvature = ((z * (s * (1 - s))[:, None].astype(np.float32)).T @ z / len(z)).astype(np.float64)
+    curvature[np.diag_indices_from(curvature)] += decay + DAMPING
+    best, at = (np.inf, None), np.append(model.weights, model.bias)
+    for _ in range(STEPS):
+        now = Linear(model.center, model.scale, at[:-1], float(at[-1]))
+        weights, bias = raw(now)
+        sums = summed(packed, lambda x, _, w=weights, b=bias: unlabelled_sums(x, w, b), len(at) + 2)
+        value, gradient = pu_risk(now, sums, positive, prior, decay)
+        if value < best[0]:
+            best, at = (value, now), at - np.linalg.solve(curvature, gradient)
+        else:
+            at = (at + np.append(best[1].weights, best[1].bias)) / 2
+    return best[1] or model
+
+
 def train_pu(docs: DataFrame, labels: DataFrame, training: Column, rows: int = SAMPLE) -> tuple[Linear, float]:
-    """Operator 3's model and class prior: positives of training rows, unlabelled text of training rows."""
-    positives = labelled(labels, training).where("kind = '1'")
-    unlabelled = base.take(docs, "doc_id").select(F.col("doc_id").cast("long")).where("doc_id is not null").where(training).select("doc_id", F.lit("u").alias("kind"))
-    x = _merged(sampled_features(docs, positives, rows), sampled_features(docs, unlabelled, 2 * rows))
-    if len(x) < 2 or min(map(len, x.values())) < 5:
+    """Operator 3's model and class prior: positives of training rows against the text of all training rows.
+
+    A sample of both gives the first model, the classifiers of the prior and the curvature; the prior's shares
+    and the risk are then taken over all unlabelled training texts.
+    """
+    positives = sampled_features(docs, labelled(labels, training).where("kind = '1'"), rows)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("string")
+    ids = base.take(docs, "doc_id").select(F.col("doc_id").cast("long")).where("doc_id is not null").where(training).select("doc_id", fold.alias("kind"))
+    sample = sampled_features(docs, ids, 2 * rows)
+    if not positives or not sample:
         return neutral(), 0.5
-    prior = estimate_prior(x["1"], x["u"])
-    return fit_nnpu(x["1"], x["u"], prior), prior
+    p, folds = positives["1"], (sample.get("0", sample.get("1")), sample.get("1", sample.get("0")))
+    packed = base.stored(packed_features(docs, training))
+    found = discriminators(p, folds)
+    bars = [(*raw(model), np.log(bar / (1 - bar))) for model, bar, _ in found]
+
+    def reach(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Rows of the other fold, and those that reach the bar, for each fold."""
+        return np.array([v for k, (w, b, bar) in enumerate(bars) for v in ((of != k).sum(), (x[of != k] @ w + b >= bar).sum())], float)
+
+    counts = summed(packed, reach, 4)
+    own = [float((model.score(folds[k]) >= bar).mean()) for k, (model, bar, _) in enumerate(found)]
+    prior = prior_of(found, [counts[2 * k + 1] / counts[2 * k] if counts[2 * k] else own[k] for k in (0, 1)])
+    every = np.concatenate([sample[k] for k in sorted(sample)])
+    model = refined(packed, p, every, fit_nnpu(p, every, prior), prior)
+    base.release(packed)
+    return model, prior
 
 
 def scored(docs: DataFrame, model: Linear) -> DataFrame:

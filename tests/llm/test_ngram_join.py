@@ -69,6 +69,7 @@ def test_blocks_agree_with_one_task(spark, monkeypatch):
     import llm.ngram_join as m
 
     monkeypatch.setattr(m, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(m, "BLOCK_SETS", 3)
     rows = corpus(3)
     got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == brute(rows)

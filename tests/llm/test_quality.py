@@ -79,3 +79,73 @@ def test_nnpu_recovers_prior():
     assert abs(prior - 0.6) < 0.08
     model = m.fit_nnpu(positive, unlabelled, prior)
     assert (model.score(make(500, 1)) > 0.5).mean() > 0.95 and (model.score(make(500, -1)) < 0.5).mean() > 0.95
+
+
+def test_risk_gradient_against_finite_differences():
+    rng = np.random.default_rng(3)
+    size = 6
+    for prior, shift in ((0.4, 0.5), (0.95, -3.0)):  # the negative part above and below zero
+        positive, unlabelled = rng.normal(1, 1, (40, size)), rng.normal(shift, 1, (90, size))
+        center, scale = rng.normal(0, 1, size), rng.uniform(0.5, 2, size)
+
+        def at(p, center=center, scale=scale, positive=positive, unlabelled=unlabelled, prior=prior):
+            model = m.Linear(center, scale, p[:-1], float(p[-1]))
+            w = model.weights / model.scale
+            return m.pu_risk(model, m.unlabelled_sums(unlabelled, w, float(model.bias - center @ w)), positive, prior, 1e-2)
+
+        p = rng.normal(0, 0.3, size + 1)
+        z = (positive - center) / scale @ p[:-1] + p[-1]
+        negative = at(p)[0] > prior * np.logaddexp(0, -z).mean() + 0.005 * p[:-1] @ p[:-1] + 1e-5
+
+        def risk(p, center=center, scale=scale, positive=positive, unlabelled=unlabelled, prior=prior, negative=negative):
+            zp, zu = (positive - center) / scale @ p[:-1] + p[-1], (unlabelled - center) / scale @ p[:-1] + p[-1]
+            below = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            return (prior * np.logaddexp(0, -zp).mean() + below if negative else -below) + 0.005 * p[:-1] @ p[:-1]
+
+        got = at(p)[1]
+        want = [(risk(p + e) - risk(p - e)) / 2e-5 for e in 1e-5 * np.eye(size + 1)]
+        np.testing.assert_allclose(got, want, atol=1e-4)
+
+
+def test_packed_features_and_sums(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)] + [(None, "no id")], "doc_id long, text string")
+    training = m.remainder(docs["doc_id"], 3) != 1
+    packed = m.packed_features(docs, training)
+    rows = [m.unpacked(r.asDict()) for r in packed.collect()]
+    texts = [t for k, t in enumerate(TEXTS) if zlib.crc32(str(k).encode()) % 3 != 1]
+    want = np.concatenate([c.features() for _, c in chunks(pa.array(texts))])
+    got = np.concatenate([x for x, _ in rows])
+    order = lambda x: x[np.lexsort(x[:, :DENSE].T)]
+    assert np.abs(order(got) - order(want)).max() < 1 / 255
+    sums = m.summed(packed, lambda x, of: np.array([len(x), (of == 0).sum()], float), 2)
+    assert sums[0] == len(texts) and 0 <= sums[1] <= len(texts)
+
+
+def test_labels_repeated_null_and_unknown(spark):
+    rows = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, None, 0), (3, 7, 0), (None, 1, 0), (4, 0, 1), (99, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumn("Quality ", m.F.lit(1))
+    assert sorted(map(tuple, m.labelled(labels, None).collect())) == [(1, "0"), (2, "1"), (4, "0"), (99, "1")]
+
+
+def test_one_row_of_a_kind_is_enough(spark):
+    docs = spark.createDataFrame([(1, "a fine text about rivers " * 20), (2, "$$ ## buy now " * 20), (3, "rivers and fine hills " * 20), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = m.train_quality(docs, labels)
+    score = {r.doc_id: r.score for r in m.scored(docs, model).collect()}
+    assert score[1] > 0.5 > score[2]
+    everyone = m.F.lit(True)
+    pu, prior = m.train_pu(docs, labels, everyone)
+    assert 0.05 <= prior <= 0.98 and m.scored(docs, pu).count() == 4
+    assert m.train_pu(docs, labels.where("quality = 0"), everyone)[0].weights.any() == np.False_
+    assert m.train_pu(docs.limit(0), labels, everyone)[1] == 0.5
+
+
+def test_calibration_on_unseen_rows():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 4000).astype(float)
+    x = np.concatenate([rng.normal(y[:, None] * 1.2, 1, (4000, 3)), np.zeros((4000, DENSE + 1))], 1)
+    model = m.calibrate(m.fit_logistic(x[:1000], y[:1000]), x[1000:2000], y[1000:2000])
+    score = model.score(x[2000:])
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = (score >= low) & (score < low + 0.25)
+        assert abs(score[part].mean() - y[2000:][part].mean()) < 0.06

@@ -72,3 +72,21 @@ def test_query(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[3] == k for x in base) for k in ("assign", "access", "hex"))
+
+
+def test_very_many_matches_copies_and_long_texts(spark):
+    text = "token=abcdefgh " * 1500 + "deadbeefdeadbeefdeadbeef"
+    rows = [(k, text) for k in range(5)] + [(None, text), (7, "lone secret: qwerty1"), (7, "other password=xyzxyz")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = m.base.stored(m.update(frame))
+    assert ledger.count() == 3
+    found = m.findings(frame, ledger).collect()
+    want = [tuple(s) for s in brute(text)]
+    assert len(found) == 8 and all([tuple(s) for s in r.spans] == want for r in found if r.doc_id != 7) and len(want) == 1501
+
+
+def test_filter_passes_all_marked(spark):
+    rows = m.addressed(spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string"), False)
+    bits, table = m.blob_filter(rows.where("doc_id % 3 = 0"))
+    assert m.passing(rows, bits, table, True).where("doc_id % 3 = 0").count() == 100
+    assert m.passing(rows, bits, table, True).count() + m.passing(rows, bits, table, False).count() == 300
