@@ -12,7 +12,7 @@ occurrence number), so that the similarity of sets is that of multisets whatever
 3. Multi-index: a fingerprint is four blocks of 16 bits. Of two fingerprints within RADIUS bits some block
    differs in three bits at most, so the items are indexed under all values that near, the windows look up
    their own. At similarity THRESHOLD a bit differs with probability 0.172, one fingerprint lies beyond
-   RADIUS in 7 % of cases, all PRINTS of them in 1 of 30,000.
+   RADIUS in 7 % of cases, both in 1 of 200.
 4. What is found is verified exactly. Pairs of the gate of which nothing was verified go the exact way: all
    their gated windows are verified. So no passage is lost to the fingerprints.
 
@@ -39,18 +39,18 @@ SHINGLE = 5
 THRESHOLD = 0.75
 RADIUS = 15
 BITS = 64
-PRINTS = 4
+PRINTS = 2
 BLOCK_BITS = 16
 BROADCAST_ROWS = 200_000
 
 
-def split_words(text: Column) -> Column:
-    """Lower-case words; blank text has none."""
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def word_hashes(text: str) -> Column:
+    """Hashes of the lower-case words; blank text has none."""
+    return F.expr(f"""transform(array(btrim(lower({text}), ' \t\n\x0B\f\r')), t -> if(t = '', cast(array() as array<bigint>), transform(split(t, r'[\x20\x09-\x0D]+'), w -> xxhash64(w))))[0]""")
 
 
 def shingles(words: str, size: int) -> str:
-    """SQL of the hashes of all runs of ``size`` words, in order."""
+    """SQL of the hashes of all runs of ``size`` words (hashes themselves), in order."""
     parts = ", ".join(f"{words}[i + {k}]" for k in range(size))
     return f"transform(if(size({words}) >= {size}, sequence(0, size({words}) - {size}), array()), i -> xxhash64({size}, {parts}))"
 
@@ -70,11 +70,16 @@ def features(hashes: str) -> str:
 def fingerprint(hashes: str) -> str:
     """SQL of the 64-bit SimHash of an array of hashes: bit b is set if most of them have it.
 
-    Bits j and j + 32 are counted in the halves of one long.
+    Bits are counted in parts of one long: four of 16 bits, for arrays beyond their range two of 32.
     """
-    lanes = "transform(sequence(0, 31), j -> aggregate(x, 0L, (a, h) -> a + (shiftrightunsigned(h, j) & 4294967297L)))"
-    low, high = "if((c & 4294967295L) * 2 > size(x), shiftleft(1L, j), 0L)", "if(shiftrightunsigned(c, 32) * 2 > size(x), shiftleft(1L, j + 32), 0L)"
-    return f"transform(array({hashes}), x -> aggregate(transform({lanes}, (c, j) -> {low} | {high}), 0L, (a, b) -> a | b))[0]"
+
+    def counted(parts: int) -> str:
+        width = BITS // parts
+        lanes = f"transform(sequence(0, {width - 1}), j -> aggregate(x, 0L, (a, h) -> a + (shiftrightunsigned(h, j) & {sum(1 << width * p for p in range(parts))}L)))"
+        bits = [f"if((shiftrightunsigned(c, {width * p}) & {(1 << width) - 1}L) * 2 > size(x), shiftleft(1L, j + {width * p}), 0L)" for p in range(parts)]
+        return f"aggregate(transform({lanes}, (c, j) -> {' | '.join(bits)}), 0L, (a, b) -> a | b)"
+
+    return f"transform(array({hashes}), x -> if(size(x) < 65536, {counted(4)}, {counted(2)}))[0]"
 
 
 def simhash(words: str) -> str:
@@ -108,10 +113,10 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def items(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, k, grams, features, prints, word_print) of items with words; k: words of a shingle."""
-    rows = base.take(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), split_words(F.col("text")).alias("words")).where("size(words) > 0")
+    rows = base.take(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), word_hashes("text").alias("words")).where("size(words) > 0")
     rows = rows.select("item_id", "words", F.size("words").alias("size"), F.expr(f"least({SHINGLE}, size(words))").alias("k"))
     rows = rows.select("*", F.expr(grams("words")).alias("grams")).select("*", F.expr(features("grams")).alias("features"))
-    return base.cut(rows.select("item_id", "size", "k", "grams", "features", F.expr(prints("features")).alias("prints"), F.expr(simhash("words")).alias("word_print")))
+    return base.cut(rows.select("item_id", "size", "k", "grams", "features", F.expr(prints("features")).alias("prints"), F.expr(fingerprint("words")).alias("word_print")))
 
 
 #: SQL of the starts of all windows with ``least`` of the ascending ``places`` or more, each once. The i-th run of
@@ -121,16 +126,16 @@ STARTS = """case when n < size then array(0) else flatten(transform(filter(trans
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, words): documents with an id, and 128 bits that stand for the text."""
+    """(doc_id, h1, h2, text): documents with an id, and 128 bits that stand for the text."""
     plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return plain.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), split_words(F.col("text")).alias("words"))
+    return plain.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
 
 def hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, n, hits): the places (pos, gram) of documents of n words that hold shingles of the benchmark."""
     sizes = sorted(r.k for r in known.select("k").distinct().collect())  # at most five values
     found = "concat(" + ", ".join(f"transform({shingles('words', k)}, (h, i) -> named_struct('pos', i, 'gram', h))" for k in sizes or [SHINGLE]) + ")"
-    rows = texts(docs).select("doc_id", "h1", "h2", F.size("words").alias("n"), F.explode(F.expr(found)).alias("x")).select("doc_id", "h1", "h2", "n", "x.pos", "x.gram")
+    rows = texts(docs).withColumn("words", word_hashes("text")).select("doc_id", "h1", "h2", F.size("words").alias("n"), F.explode(F.expr(found)).alias("x")).select("doc_id", "h1", "h2", "n", "x.pos", "x.gram")
     held = base.cut(known.select(F.explode("grams").alias("gram")).distinct())
     return base.cut(rows.join(bounded(held), "gram").groupBy("doc_id", "h1", "h2", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits")))
 
@@ -158,7 +163,11 @@ def gated(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Each row of wanted (h1, h2, carrier, size, k, start, ...) with the window's features and its words' SimHash."""
-    rows = texts(docs).withColumnRenamed("doc_id", "carrier").join(bounded(wanted), ["h1", "h2", "carrier"])
+    names = [c for c in wanted.columns if c not in ("h1", "h2", "carrier", "start")]
+    by_text = wanted.groupBy("h1", "h2", "carrier").agg(F.collect_list(F.struct("start", *names)).alias("wanted"))
+    rows = texts(docs).withColumnRenamed("doc_id", "carrier").join(bounded(base.cut(by_text)), ["h1", "h2", "carrier"])
+    rows = rows.select("h1", "h2", "carrier", word_hashes("text").alias("words"), "wanted")  # a text is split once
+    rows = rows.select("h1", "h2", "carrier", "words", F.explode("wanted").alias("x")).select("h1", "h2", "carrier", "words", "x.*")
     own = rows.withColumn("own", F.expr("slice(words, start + 1, size)")).drop("words")
     return own.withColumn("grams", F.expr(grams("own"))).withColumn("features", F.expr(features("grams"))).drop("grams")
 
@@ -183,7 +192,7 @@ def verified(docs: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFr
     rows = windows(docs, candidates).join(bounded(goal), "item_id").withColumn("similarity", F.expr(similarity("features", "goal")).cast("double"))
     passed = rows.where(F.col("similarity") >= THRESHOLD).select("h1", "h2", "item_id", "similarity", (-F.col("start")).alias("near"), "size", "own", "word_print")
     best = passed.groupBy("h1", "h2", "item_id").agg(F.max(F.struct("similarity", "near", "size", "own", "word_print")).alias("x"))
-    distance = F.expr(f"cast(bit_count({simhash('x.own')} ^ x.word_print) as int)")
+    distance = F.expr(f"cast(bit_count({fingerprint('x.own')} ^ x.word_print) as int)")
     return best.select("h1", "h2", "item_id", F.struct("x.similarity", "x.near", "x.size", distance.alias("distance")).alias("x"))
 
 
