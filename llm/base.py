@@ -73,10 +73,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are no longer referenced; they count as disk until then."""
+    """Lets Spark drop the shuffle files of frames that are no longer referenced; they count as disk until then.
+
+    Python's references to the JVM go beside the driver, so the first collection may come too early for the last frame.
+    """
     gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # the cleaner works beside the driver
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
