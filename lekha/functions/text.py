@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x1c-\x1f]"
 #: Code points that comparable answers drop, and one that they unify.
 NUKTA, CHANDRABINDU, ANUSVARA, ZWNJ, ZWJ = "़", "ँ", "ं", "‌", "‍"
-DEVANAGARI_DIGITS = "०१२३४५६७८९"
+#: Patterns of numbers.
 NUMBER = r"-?\d+(?:\.\d+)?"
 NUMBER_IN_TEXT = r"-?\d+(?:,\d{3})*(?:\.\d+)?"
 SPEECH_TAG = "<speech>"
@@ -91,8 +91,12 @@ def normalize_answer(x: Column | str, decompose: bool = True) -> Column:
     return fold_answer(nfkd(lowered) if decompose else lowered)
 
 
+#: Every decimal digit of other scripts, and what it stands for.
+DIGITS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"}
+
+
 def digits_to_ascii(x: Column | str) -> Column:
-    return F.translate(col(x), DEVANAGARI_DIGITS, "0123456789")
+    return F.translate(col(x), "".join(DIGITS), "".join(DIGITS.values()))
 
 
 def normalize_number(x: Column | str) -> Column:
@@ -129,9 +133,9 @@ def contains_match(prediction: Column, gold: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two arrays; only the distinct elements that both have are counted."""
     count = lambda side, t: F.size(F.filter(side, lambda y: y == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
@@ -185,16 +189,19 @@ def first_turn(turns: Column | str) -> Column:
     return F.coalesce(strip(F.try_element_at(col(turns), F.lit(1))), F.lit(""))
 
 
+#: Fixed texts of the task prompts.
+GSM_HEAD = "निम्न गणित प्रश्न को चरण-दर-चरण हल करें। अंत में अंतिम उत्तर को इस प्रारूप में लिखें: #### <उत्तर>\n\nप्रश्न: "
+GSM_TAIL = "\n\nसमाधान:"
+QA_HEAD = "नीचे दिए गए संदर्भ के आधार पर प्रश्न का उत्तर हिंदी में दें। उत्तर संक्षिप्त और संदर्भ के अनुसार रखें।\n\nसंदर्भ: "
+QA_MIDDLE, QA_TAIL = "\n\nप्रश्न: ", "\n\nउत्तर:"
+
+
 def gsm_prompt(question: Column | str) -> Column:
-    #: Fixed text of the task prompt.
-    head = "निम्न गणित प्रश्न को चरण-दर-चरण हल करें। अंत में अंतिम उत्तर को इस प्रारूप में लिखें: #### <उत्तर>\n\nप्रश्न: "
-    return F.concat(F.lit(head), col(question), F.lit("\n\nसमाधान:"))
+    return F.concat(F.lit(GSM_HEAD), col(question), F.lit(GSM_TAIL))
 
 
 def qa_prompt(context: Column | str, question: Column | str) -> Column:
-    #: Fixed text of the task prompt.
-    head = "नीचे दिए गए संदर्भ के आधार पर प्रश्न का उत्तर हिंदी में दें। उत्तर संक्षिप्त और संदर्भ के अनुसार रखें।\n\nसंदर्भ: "
-    return F.concat(F.lit(head), col(context), F.lit("\n\nप्रश्न: "), col(question), F.lit("\n\nउत्तर:"))
+    return F.concat(F.lit(QA_HEAD), col(context), F.lit(QA_MIDDLE), col(question), F.lit(QA_TAIL))
 
 
 def units_to_ints(x: Column | str) -> Column:

@@ -129,3 +129,9 @@ def existing_audio(df: DataFrame, files: DataFrame, keep: bool = True) -> DataFr
     known = files.select(basename("path").alias("_name")).distinct()
     named = df.withColumn("_name", F.when(strip("speech") != "", basename("speech")))
     return named.join(known, "_name", "left_semi" if keep else "left_anti").drop("_name")
+
+
+def speech_cursor(df: DataFrame, key: str, order: str, n: str) -> DataFrame:
+    """df with ``cursor``: the first feature of each row. A row takes as many as it has speech segments (n), one without any."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("cursor", F.coalesce(F.sum(F.greatest(F.col(n), F.lit(1))).over(before), F.lit(0)).cast("long"))

@@ -55,7 +55,8 @@ def shortest_queue(workers: DataFrame, model: str | None = None, *keys: str) ->
 def lottery(workers: DataFrame, model: str, seed: int) -> DataFrame:
     """One worker drawn by speed: the least of -ln(u) / speed; none if speeds sum below 1e-4."""
     rows = workers.where(serves("model_names", model))
-    u = (F.pmod(F.xxhash64("worker_name", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "worker_name", F.lit(str(seed)))), 1, 13), 16, 10).cast("long")
+    u = (drawn + 1) / F.lit(float((1 << 52) + 1))
     race = F.when(F.col("speed") > 0, -F.log(u) / F.col("speed"))
     return rows.agg(F.sum("speed").alias("s"), F.min(F.struct(race.alias("r"), "worker_name")).alias("b")).select(F.when(F.coalesce(F.col("s"), F.lit(0.0)) < 1e-4, F.lit("")).otherwise(F.col("b.worker_name")).alias("worker_name"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, operations, sampling
+from . import corpus, evaluation, files, operations, sampling
 
-MODULES = (corpus, sampling, evaluation, operations)
+MODULES = (corpus, sampling, evaluation, operations, files)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -123,10 +123,10 @@ def gen_prompt_llama3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir).select("conv_id", T.generation_prompt(ask(0), speech=True).alias("prompt"))
 
 
-@query(f"WITH {KEPT} SELECT conv_id, length({LLAMA3} {h('user')} || question || '{T.END_OF_TURN}' || {h('assistant')}) AS instruction_chars FROM pairs")
+@query(f"WITH {KEPT}, i AS (SELECT conv_id, {LLAMA3} {h('user')} || question || '{T.END_OF_TURN}' || {h('assistant')} AS instruction FROM pairs) SELECT conv_id, instruction, length(instruction) AS instruction_chars FROM i")
 def instruction_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompt = T.render(T.with_roles("conversations"))
-    return kept(spark, sf_dir).select("conv_id", F.length(T.instruction_part(prompt)).cast("long").alias("instruction_chars"))
+    part = T.instruction_part(T.render(T.with_roles("conversations")))
+    return kept(spark, sf_dir).select("conv_id", part.alias("instruction"), F.length(part).cast("long").alias("instruction_chars"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {S.strip("'<speech>' || chr(10) || " + S.strip('text'))} ELSE text END AS text FROM conversations""")
@@ -172,13 +172,27 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = f"{KEPT}, w AS (SELECT conv_id, {S.split_words('question')} AS q, {S.split_words('answer')} AS a FROM pairs)"
+IDS = "list_transform({}, lambda x: CAST(length(x) + 1 AS BIGINT))"
 
 
-@query(f"""WITH {WORDS} SELECT conv_id, CAST(1 + len(q) + len(a) AS BIGINT) AS tokens, CAST(len(a) AS BIGINT) AS loss_tokens, CAST(coalesce(list_sum(list_transform(a, lambda x: length(x) + 1)), 0) AS BIGINT) AS loss_sum FROM w""")
+def shown(numbers: str) -> str:
+    """SQL of a list of numbers as one text, so that all elements are compared."""
+    return f"array_to_string(list_transform({numbers}, lambda y: CAST(y AS VARCHAR)), ',')"
+
+
+def joined(numbers: Column) -> Column:
+    return F.array_join(F.transform(numbers, lambda x: x.cast("string")), ",")
+
+
+@query(f"""WITH {WORDS} SELECT conv_id, CAST(1 + len(q) + len(a) AS BIGINT) AS tokens, CAST(len(a) AS BIGINT) AS loss_tokens, CAST(coalesce(list_sum(list_transform(a, lambda x: length(x) + 1)), 0) AS BIGINT) AS loss_sum,
+    {shown("list_concat(list_transform(range(0, 1 + len(q)), lambda i: -100), " + "list_transform(a, lambda x: CAST(length(x) + 1 AS BIGINT)))")} AS labels, {shown("range(1 + len(q), 1 + len(q) + len(a))")} AS loss_places FROM w""")
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_rows(spark, sf_dir).withColumn("labels", A.label_mask("ids", F.col("prefix")))
     kept_ids = F.filter("labels", lambda x: x != A.IGNORE_INDEX)
-    return rows.select("conv_id", F.size("ids").cast("long").alias("tokens"), F.size(A.loss_positions("labels")).cast("long").alias("loss_tokens"), F.aggregate(kept_ids, F.lit(0), lambda s, x: s + x).cast("long").alias("loss_sum"))
+    return rows.select(
+        "conv_id", F.size("ids").cast("long").alias("tokens"), F.size(A.loss_positions("labels")).cast("long").alias("loss_tokens"), F.aggregate(kept_ids, F.lit(0), lambda s, x: s + x).cast("long").alias("loss_sum"),
+        joined(F.col("labels")).alias("labels"), joined(A.loss_positions("labels")).alias("loss_places"),
+    )
 
 
 @query(f"""WITH {WORDS} SELECT conv_id, repeat('F', least(12, 1 + len(q))::INT) || repeat('T', greatest(0, 12 - 1 - len(q))::INT) AS mask, CAST(least(12, 1 + len(q)) AS BIGINT) AS length FROM w""")
@@ -188,28 +202,29 @@ def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("m", lambda x: F.when(x, F.lit("T")).otherwise(F.lit("F"))), "").alias("mask"), A.mask_length("m").cast("long").alias("length"))
 
 
-@query(f"""WITH {WORDS} SELECT conv_id, CAST(1 + len(q) + len(a) + CASE WHEN 1 + len(q) + len(a) < 40 THEN 40 - (1 + len(q) + len(a)) ELSE 0 END AS BIGINT) AS padded, CAST(greatest(0, 40 - (1 + len(q) + len(a))) AS BIGINT) AS pads FROM w""")
+@query(f"""WITH {WORDS}, p AS (SELECT conv_id, list_concat([1::BIGINT], {IDS.format('list_concat(q, a)')}) AS ids FROM w), z AS (SELECT conv_id, ids, list_transform(range(0, greatest(0, 40 - len(ids))), lambda i: 0) AS zeros FROM p)
+    SELECT conv_id, {shown('list_concat(zeros, ids)')} AS at_left, {shown('list_concat(ids, zeros)')} AS at_right, {shown('list_concat(list_transform(ids, lambda i: 1), zeros)')} AS mask FROM z""")
 def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = A.pad_left("ids", F.lit(40), F.lit(0)), A.pad_right("ids", F.lit(40), F.lit(0))
     rows = token_rows(spark, sf_dir).select("conv_id", left.alias("l"), right.alias("r"))
-    same = F.size(F.filter(A.not_pad("l", F.lit(0)), lambda x: ~x)) == F.size(F.filter(A.not_pad("r", F.lit(0)), lambda x: ~x))
-    return rows.where(same).select("conv_id", F.size("r").cast("long").alias("padded"), F.size(F.filter("r", lambda x: x == 0)).cast("long").alias("pads"))
+    mask = F.transform(A.not_pad("r", F.lit(0)), lambda x: x.cast("int"))
+    return rows.select("conv_id", joined(F.col("l")).alias("at_left"), joined(F.col("r")).alias("at_right"), joined(mask).alias("mask"))
 
 
-@query(f"""WITH {WORDS} SELECT conv_id, CAST(3 + len(q) + len(a) + 1 AS BIGINT) AS tokens, CAST(2 AS BIGINT) AS marks FROM w""")
+@query(f"""WITH {WORDS} SELECT conv_id, {shown("list_concat(list_concat([1::BIGINT], " + IDS.format('q') + "), list_concat(list_concat([-200::BIGINT], " + IDS.format('a') + "), [-200::BIGINT, 9]))")} AS ids FROM w""")
 def speech_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.array(F.lit(1))
     words = lambda c: F.concat(start, F.transform(F.col(c), lambda w: F.length(w) + 1))
     rows = kept(spark, sf_dir).select("conv_id", X.split_words(ask(0)).alias("q"), X.split_words(ask(1)).alias("a"))
-    joined = A.join_speech_chunks(F.array(words("q"), words("a"), F.array(F.lit(1), F.lit(9))), 1)
-    return rows.select("conv_id", joined.alias("j")).select("conv_id", F.size("j").cast("long").alias("tokens"), F.size(F.filter("j", lambda x: x == A.SPEECH_INDEX)).cast("long").alias("marks"))
+    ids = A.join_speech_chunks(F.array(words("q"), words("a"), F.array(F.lit(1), F.lit(9))), 1)
+    return rows.select("conv_id", joined(ids).alias("ids"))
 
 
-@query(f"""WITH {WORDS} SELECT conv_id, CAST(least(30, len(q) + len(a) + 7) AS BIGINT) AS labels, CAST(least(7, 30) AS BIGINT) AS ignored FROM w""")
+@query(f"""WITH {WORDS} SELECT conv_id, {shown("list_concat(list_transform(range(0, 7), lambda i: -100), " + IDS.format('list_concat(q, a)') + ")[1:30]")} AS labels FROM w""")
 def spliced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_rows(spark, sf_dir).withColumn("ids", F.concat(F.array(F.lit(A.SPEECH_INDEX)), F.slice("ids", F.lit(2), F.size("ids"))))
     out = A.splice_labels("ids", "ids", F.lit(7), 30)
-    return rows.select("conv_id", out.alias("l")).select("conv_id", F.size("l").cast("long").alias("labels"), F.size(F.filter("l", lambda x: x == A.IGNORE_INDEX)).cast("long").alias("ignored"))
+    return rows.select("conv_id", joined(out).alias("labels"))
 
 
 @query("""SELECT vec_id, CAST(12 AS BIGINT) AS rows, round(list_sum(list_transform(embedding[1:60], lambda x: CAST(x AS DOUBLE))), 6) AS total, round(CAST(embedding[56] AS DOUBLE), 6) AS last_first FROM embeddings""")
@@ -227,11 +242,11 @@ def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor
-    FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n FROM conversations)""")
+    FROM (SELECT conv_id, turn, CASE WHEN turn % 3 > 1 THEN 2 ELSE 1 END AS n FROM conversations)""")
 def speech_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.when(F.col("role") == "user", 1).otherwise(0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long").alias("cursor"))
+    """turn % 3 stands for the speech segments of a row: none, one or two."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("n"))
+    return C.speech_cursor(rows, "conv_id", "turn", "n").select("conv_id", "turn", "cursor")
 
 
 @query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder,

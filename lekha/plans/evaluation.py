@@ -32,7 +32,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold")).join(d, "item_id")
 
 
-PAIRS = f"""p AS (SELECT item_id, {S.normalized('substr(d.text, 1, 400)')} AS a, {S.normalized('b.text')} AS b FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+PAIRS = f"""p AS (SELECT item_id, {S.normalized('d.text')} AS a, {S.normalized('b.text')} AS b FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
 
 
 @query(f"SELECT doc_id, {S.normalized('text')} AS answer FROM documents")
@@ -151,10 +151,10 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nll_rows(spark, sf_dir).select("vec_id", F.round("nll", 6).alias("nll"), F.round(safe_exp(F.col("nll")), 4).alias("perplexity"))
 
 
-@query(f"WITH {LOGPROBS} SELECT count(*) AS total, round(avg(nll), 6) AS nll, round(exp(avg(nll)), 4) AS perplexity, 0.0::DOUBLE AS f1 FROM s")
+@query(f"WITH {LOGPROBS} SELECT count(*) AS total, round(avg(nll), 6) AS nll, round(exp(avg(nll)), 4) AS perplexity, round(avg(CAST(vec_id % 2 AS DOUBLE)), 6) AS contains_match, round(avg((vec_id % 8) / 8.0), 6) AS f1 FROM s")
 def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nll_rows(spark, sf_dir).withColumn("contains_match", F.lit(None).cast("double")).withColumn("f1", F.lit(None).cast("double"))
-    return M.qa_summary(rows).select("total", F.round("nll", 6).alias("nll"), F.round("perplexity", 4).alias("perplexity"), "f1")
+    rows = nll_rows(spark, sf_dir).withColumn("contains_match", (F.col("vec_id") % 2).cast("double")).withColumn("f1", (F.col("vec_id") % 8) / 8.0)
+    return M.qa_summary(rows).select("total", F.round("nll", 6).alias("nll"), F.round("perplexity", 4).alias("perplexity"), F.round("contains_match", 6).alias("contains_match"), F.round("f1", 6).alias("f1"))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), n AS (SELECT vec_id // 4 AS g, vec_id % 4 AS k, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM v),
@@ -191,10 +191,9 @@ def page_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("key = 'k'").select("event_id", F.col("value").cast("long").alias("k"))
 
 
-@query("""SELECT doc_id, length('निम्न गणित प्रश्न को चरण-दर-चरण हल करें। अंत में अंतिम उत्तर को इस प्रारूप में लिखें: #### <उत्तर>' || chr(10) || chr(10) || 'प्रश्न: ' || text || chr(10) || chr(10) || 'समाधान:') AS gsm_chars,
-    length('नीचे दिए गए संदर्भ के आधार पर प्रश्न का उत्तर हिंदी में दें। उत्तर संक्षिप्त और संदर्भ के अनुसार रखें।' || chr(10) || chr(10) || 'संदर्भ: ' || text || chr(10) || chr(10) || 'प्रश्न: ' || source || chr(10) || chr(10) || 'उत्तर:') AS qa_chars FROM documents""")
+@query(f"SELECT doc_id, md5('{X.GSM_HEAD}' || text || '{X.GSM_TAIL}') AS gsm, md5('{X.QA_HEAD}' || text || '{X.QA_MIDDLE}' || source || '{X.QA_TAIL}') AS qa FROM documents")
 def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.gsm_prompt("text")).cast("long").alias("gsm_chars"), F.length(X.qa_prompt("text", "source")).cast("long").alias("qa_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.gsm_prompt("text")).alias("gsm"), F.md5(X.qa_prompt("text", "source")).alias("qa"))
 
 
 @query("SELECT doc_id, n_chars - quality AS difference FROM documents JOIN labels USING (doc_id)")

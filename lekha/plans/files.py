@@ -65,7 +65,8 @@ def nested_qa_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.col("item_id").cast("string")
     qa = F.struct(ident.alias("id"), F.concat(F.lit(" q "), ident).alias("question"), F.array(answer(ident), answer(F.lit(" "))).alias("answers"))
     paragraph = F.struct(F.concat(F.lit(" "), "text").alias("context"), F.array(qa).alias("qas"))
-    items(spark, sf_dir).select(F.array(F.struct(F.array(paragraph).alias("paragraphs"))).alias("data")).write.json(path)
+    article = F.struct(F.array(paragraph).alias("paragraphs"))
+    items(spark, sf_dir).agg(F.collect_list(article).alias("data")).coalesce(1).write.json(path)
     return S.nested_qa(spark, path).select("id", "context", "question", F.array_join("answers", "|").alias("answers"))
 
 
@@ -84,7 +85,7 @@ def chunk_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nul_chunks(spark, path, "request_id long, seq long, text string")
 
 
-@query("SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 0.5 END AS score FROM labels")
+@query("SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 0.5::DOUBLE END AS score FROM labels")
 def csv_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed columns, empty for null."""
     path = scratch(spark)
@@ -167,7 +168,7 @@ def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def either_style_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of either style, by conversation."""
     c = table(spark, sf_dir, "conversations")
-    old = F.col("conv_id") % 2 == 0
+    old = (F.col("conv_id") % 2 == 0) & X.map_role("role").isNotNull()
     when = lambda use, value: F.when(use, value).otherwise(F.lit(None).cast("string"))
     element = F.struct(when(old, X.map_role("role")).alias("from"), when(old, F.col("text")).alias("value"), when(~old, F.col("role")).alias("role"), when(~old, F.col("text")).alias("content"))
     rows = c.select("conv_id", C.either_style(F.array(element)).alias("t"))

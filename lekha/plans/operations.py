@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.numeric import logged, queue_length
 from ..operators import serving as V
 from ..operators import training as R
@@ -134,7 +135,8 @@ def worker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.summary(w).select(F.array_join("model_names", ",").alias("models"), "speed", "queue_length")
 
 
-@query()
+@query("""SELECT arg_min(w, -ln((CAST('0x' || substr(md5(w || '|42'), 1, 13) AS BIGINT) + 1) / 4503599627370497.0::DOUBLE) / s) AS worker_name
+    FROM (SELECT CAST(user_id AS VARCHAR) AS w, user_id % 5 + 1 AS s FROM events WHERE event_type = 'click' GROUP BY user_id)""")
 def worker_lottery(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = events(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("worker_name")).agg(F.collect_set("event_type").alias("model_names")).withColumn("speed", F.col("worker_name").cast("double") % 5 + 1)
     return V.lottery(w, "click", 42)
@@ -152,14 +154,14 @@ def chunk_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.flushed(chunks(spark, sf_dir), 40)
 
 
-@query("""WITH u AS (SELECT conv_id, turn, string_split(text, ' ') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) SELECT conv_id, turn, CAST(3 AS BIGINT) AS new_units, 'n' || turn AS new_text FROM u""")
+@query("""WITH u AS (SELECT conv_id, turn, string_split(text, ' ') AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) SELECT conv_id, turn, (rn * 3 - 2) || ' ' || (rn * 3 - 1) || ' ' || (rn * 3) AS new_units, 'n' || turn AS new_text FROM u""")
 def chunk_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     upto = F.row_number().over(w) * 3
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), upto.alias("n"))
     rows = rows.withColumn("unit", F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: x.cast("string")), " "))
     text = V.text_increment(F.concat(F.lit("prompt n"), F.col("seq").cast("string"), F.lit(" ")), F.lit("prompt"))
-    return V.unit_increments(rows).select(F.col("request_id").alias("conv_id"), F.col("seq").alias("turn"), F.size("new_units").cast("long").alias("new_units"), text.alias("new_text"))
+    return V.unit_increments(rows).select(F.col("request_id").alias("conv_id"), F.col("seq").alias("turn"), X.ints_to_units("new_units").alias("new_units"), text.alias("new_text"))
 
 
 @query("""SELECT conv_id AS request_id, CASE WHEN max(turn) % 2 = 0 THEN regexp_replace(arg_max(text, turn), '[.]$', '') ELSE arg_max(text, turn) || ' (error_code: 1)' END AS text FROM conversations GROUP BY conv_id""")

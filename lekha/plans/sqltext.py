@@ -30,8 +30,8 @@ def number(x: str) -> str:
 
 
 def overlap(a: str, b: str) -> str:
-    """Size of the multiset intersection of two lists."""
-    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda t: least(len(list_filter({a}, lambda y: y = t)), len(list_filter({b}, lambda y: y = t))))), 0)"
+    """Size of the multiset intersection of two lists, by the distinct words of the second, a short one."""
+    return f"coalesce(list_sum(list_transform(list_distinct({b}), lambda t: least(len(list_filter({a}, lambda y: y = t)), len(list_filter({b}, lambda y: y = t))))), 0)"
 
 
 def f1(a: str, b: str) -> str:

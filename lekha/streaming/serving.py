@@ -72,16 +72,19 @@ def unit_flushes(chunks: DataFrame, chunk_size: int) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sent, have = state.get if state.exists else (0, 0)
-        out = []
+        out, done = [], False
         for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-            have = int(row.n_units)
+            have, done = int(row.n_units), done or bool(row.done)
             if have - sent >= chunk_size:
                 out.append((key[0], sent, have, False))
                 sent = have
             if row.done and have > sent:
                 out.append((key[0], sent, have, True))
                 sent = have
-        state.update((sent, have))
+        if not done:
+            state.update((sent, have))
+        elif state.exists:  # a request that has ended leaves no state
+            state.remove()
         yield pd.DataFrame(out, columns=["request_id", "start", "stop", "final"])
 
     return chunks.groupBy("request_id").applyInPandasWithState(run, FLUSH, "sent int, have int", "append", GroupStateTimeout.NoTimeout)

@@ -159,3 +159,23 @@ def test_tokenizer_contract(spark):
     assert rows[0][0] == 1 and rows[0].count(-200) == 1 and len(rows[0]) == 5 and rows[1] is None
     assert [len(x) for x in column(spark, ["a b", ""], "string", lambda x: K.tokenize(x, make))] == [3, 1]
     assert column(spark, [[1, 2, 3]], "array<int>", lambda x: K.overlength(F.size(x), 2, "truncate", x)) == [[1, 2]]
+
+
+def test_digits_of_any_script(spark):
+    assert column(spark, ["٣٤ and ৭.৫0", "𝟙𝟚", "१,२३४"], "string", X.normalize_number) == ["34", "12", "1234"]
+    assert column(spark, ["x ৭ y ٤٢"], "string", X.predicted_number) == ["42"]
+
+
+def test_bag_overlap_of_long_texts(spark):
+    rows = spark.createDataFrame([(["a"] * 3000 + ["b"] * 5 + ["c"], ["b"] * 9 + ["a"] * 7)], "a array<string>, b array<string>")
+    assert rows.select(X.bag_overlap(F.col("a"), F.col("b")).alias("n")).first().n == 12
+
+
+def test_uncalled_helpers(spark):
+    row = spark.range(1).select(T.message_text(F.struct(F.lit("t").alias("text"), F.lit("m").alias("media"))).alias("m"), N.reports_progress(F.lit(26), F.lit(2)).alias("p"), X.ints_to_units(F.array(F.lit(3), F.lit(1))).alias("u")).first()
+    assert (row.m, row.p, row.u) == ("t", True, "3 1")
+    turns = [[("human", "q"), ("gpt", "a")], [("human", "q")]]
+    frame = spark.createDataFrame([(t,) for t in turns], "t array<struct<`from`:string,value:string>>")
+    assert frame.limit(1).select(T.require_single_turn("t").alias("x")).first().x[1].value == "a"
+    with pytest.raises(Exception, match="one human turn"):
+        frame.select(T.require_single_turn("t").alias("x")).collect()
