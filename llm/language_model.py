@@ -43,7 +43,8 @@ from . import base
 from .quality import remainder
 from .textops import LOWER, mix, text_chunks, word_hashes, words
 
-CHUNK_TOKENS = 1_000_000
+#: Tokens of a chunk: what a Python worker holds with all orders' n-grams, some 150 bytes a token.
+CHUNK_TOKENS = 600_000
 #: Tokens of the corpus for each partition of a count table.
 PART_TOKENS = 2_000_000
 #: Bytes of text for each bucket of the chunk table, and so for each task of a round.
@@ -131,8 +132,8 @@ class Grams:
     the last, for the start)."""
 
     def __init__(self, keys: np.ndarray, context: np.ndarray, suffix: np.ndarray):
-        self.keys, at, self.of = np.unique(keys, return_index=True, return_inverse=True)
-        self.context, self.suffix = context[at], suffix[at]
+        self.keys, at, of = np.unique(keys, return_index=True, return_inverse=True)
+        self.of, self.context, self.suffix = of.astype(np.int32), context[at], suffix[at]
 
 
 class Chunk:
@@ -143,7 +144,7 @@ class Chunk:
         self.held = unpack(row["held"], "u1").astype(bool)
         self.sizes = unpack(row["sizes"], "<u4").astype(np.int64)
         self.vocabulary = unpack_sorted(row["vocabulary"])
-        self.token = unpack(row["stream"], "<u4").astype(np.int64)
+        self.token = unpack(row["stream"], "<u4").astype(np.int32)
         first = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
         names = np.append(self.vocabulary, START)
