@@ -14,7 +14,8 @@ occurrence number), so that the similarity of sets is that of multisets whatever
    their own. At similarity THRESHOLD a bit differs with probability 0.172, one fingerprint lies beyond
    RADIUS in 7 % of cases, both in 1 of 200.
 4. What is found is verified exactly. Pairs of the gate of which nothing was verified go the exact way: all
-   their gated windows are verified. So no passage is lost to the fingerprints.
+   their gated windows are verified. So no pair is lost to the fingerprints; of a pair that the index settled,
+   a better window that it missed is not looked for.
 
 Everything is DataFrame expressions. Equal texts are looked at once, for their smallest doc_id. A side is
 broadcast only if it stays within BROADCAST_ROWS, otherwise the join shuffles.
