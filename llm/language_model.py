@@ -52,6 +52,8 @@ BUCKET_BYTES = 32_000_000
 #: Counts to K are discounted by Good-Turing, larger ones give up ABOVE.
 K, ABOVE = 5, 0.05
 ORDER = 3
+#: Sums over the lower law travel as multiples of its inverse, 9e-13.
+SHARE = float(1 << 40)
 END, START, STARTS = np.uint64(0x5BD1E995_0000_0001), np.uint64(0x5BD1E995_0000_0002), np.uint64(0x5BD1E995_0000_0003)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,6 +78,27 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
+def pack_repeated(x: np.ndarray) -> bytes:
+    """Floats of few distinct values: these, then each one's index."""
+    distinct, index = np.unique(x, return_inverse=True)
+    head = pack(distinct)
+    return len(head).to_bytes(4, "little") + head + pack(index.astype("<u4"))
+
+
+def unpack_repeated(data: bytes) -> np.ndarray:
+    end = 4 + int.from_bytes(data[:4], "little")
+    return unpack(data[4:end], "<f8")[unpack(data[end:], "<u4")]
+
+
+def pack_share(x: np.ndarray) -> bytes:
+    """Sums of probabilities, in units of 1 / SHARE: five bytes of a float's eight say all that counts."""
+    return pack(np.rint(x * SHARE).astype("<u8"))
+
+
+def unpack_share(data: bytes) -> np.ndarray:
+    return unpack(data, "<u8") / SHARE
+
+
 def chunked(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row for each chunk: chunk, tokens, docs (ids, held, sizes), vocabulary and stream."""
     plain = base.take(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").withColumn("held", held_out)
@@ -354,7 +377,7 @@ def context_sums(chunks: DataFrame, answers: list[DataFrame], law: Law, parts: i
                 for asks, own, x, y in ((False, at, seen, lower), (True, level.asked, level.counts[level.asked].astype("<f8"), None)):
                     keys = level.names[own]
                     for part, a, b in _slices(keys, parts):
-                        values = (part, asks, pack_sorted(keys[a:b]), pack(x[a:b]), None if y is None else pack(y[a:b]))
+                        values = (part, asks, pack_sorted(keys[a:b]), pack_repeated(x[a:b]), None if y is None else pack_share(y[a:b]))
                         for column, value in zip(out, values, strict=True):
                             column.append(value)
                 types = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
@@ -376,12 +399,12 @@ def backoffs(sums: DataFrame, law: Law) -> DataFrame:
         if not asked:
             return table.select(["part", "chunk"]).slice(0, 0).add_column(0, "kind", pa.array([], pa.int32())).append_column("weight", pa.array([], pa.binary()))
         distinct, inverse = np.unique(np.concatenate([lists[k] for k in given]), return_inverse=True)
-        total = lambda column: np.bincount(inverse, weights=np.concatenate([unpack(column[k], "<f8") for k in given]), minlength=len(distinct))
-        seen, lower = total(x), total(y)
+        total = lambda column, read: np.bincount(inverse, weights=np.concatenate([read(column[k]) for k in given]), minlength=len(distinct))
+        seen, lower = total(x, unpack_repeated), total(y, unpack_share)
         out = []
         for k in asked:
             at = np.searchsorted(distinct, lists[k])
-            out.append(pack(law.weight(unpack(x[k], "<f8"), seen[at], lower[at])))
+            out.append(pack(law.weight(unpack_repeated(x[k]), seen[at], lower[at])))
         rows = table.select(["part", "chunk"]).take(pa.array(asked, pa.int64()))
         return rows.add_column(0, "kind", pa.array([0] * len(out), pa.int32())).append_column("weight", pa.array(out, pa.binary()))
 
