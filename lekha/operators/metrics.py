@@ -53,11 +53,12 @@ def best_answer(samples: DataFrame, scores: DataFrame, key: str = "sample_idx")
     """samples (key, answers) with the answer of least mean_nll, the first on ties, among valid candidates.
 
     scores: key, ord, answer, mean_nll[, start, length]; a candidate is valid if length > start >= 0.
-    Without one: (inf, inf, first answer).
+    Nulls come after all values. Without a valid candidate: (inf, inf, first answer).
     """
     if {"start", "length"} <= set(scores.columns):
         scores = scores.where((F.col("length") > F.col("start")) & (F.col("start") >= 0))
-    best = scores.groupBy(key).agg(F.min(F.struct("mean_nll", "ord", "answer")).alias("_b"))
+    order = [x for c in ("mean_nll", "ord", "answer") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    best = scores.groupBy(key).agg(F.min(F.struct(*order)).alias("_b"))
     out = samples.join(best, key, "left")
     nll = F.coalesce("_b.mean_nll", F.lit(INF))
     first = F.try_element_at(F.col("answers"), F.lit(1))

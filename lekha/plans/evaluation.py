@@ -85,7 +85,7 @@ LINE_SCORES = "SELECT l_orderkey AS sample_idx, l_linenumber AS ord, l_linestatu
 def best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sample_idx"), F.col("l_linenumber").alias("ord"), F.concat("l_linestatus", "l_linenumber").alias("answer"), F.col("l_quantity").alias("mean_nll"),
-        F.col("l_linenumber").alias("start"), F.round(F.col("l_discount") * 100).cast("int").alias("length"),
+        F.col("l_linenumber").alias("start"), F.rint(F.col("l_discount") * 100).cast("int").alias("length"),
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_idx"), F.array(F.lit("none")).alias("answers"))
     return M.best_answer(orders, line).select("sample_idx", "nll", "best_answer", (F.col("perplexity") == float("inf")).alias("overflow"))

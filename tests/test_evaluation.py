@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
 from lekha.plans import evaluation as E
@@ -50,3 +51,24 @@ def test_best_of_references_nfkd(spark, folder):
     got = rows(spark, folder, E.best_of_references_nfkd)
     assert {k: r.contains_match for k, r in got.items()} == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
     assert all(abs(got[k].f1 - f1(t, GOLD)) < 1e-8 for k, t in DOCUMENTS.items())
+
+
+def test_best_answer_of_odd_lines(spark, tmp_path):
+    lines = [
+        (1, 1, None, 0.09, "F"), (1, 2, 7.0, 0.09, "O"),  # a null score comes last
+        (2, 1, None, 0.09, "F"),
+        (3, 1, 5.0, 0.09, None), (3, 1, 5.0, 0.09, "O"),  # so does a null answer
+        (4, 2, 5.0, 0.025, "F"), (4, 1, 6.0, 0.025, "O"),  # 2.5 is rounded to 2
+        (5, 2, 5.0, 0.025, "F"),
+        (6, 1, float("nan"), 0.09, "F"), (6, 2, 60.0, 0.09, "O"),
+        (7, 1, float("nan"), 0.09, "F"), (7, None, 1.0, 0.09, "O"), (7, 2, 1.0, None, "O"),
+        (None, 1, 1.0, 0.09, "F"),
+    ]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6, 7, 8, None)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(repr, map(tuple, E.best_answer(spark, str(tmp_path)).collect())))
+    assert got == sorted(map(repr, duck.execute(E.SQL["best_answer"]).fetchall()))
